@@ -7,10 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import bpe, overlap, packing, sampling, splits, terms
+from planloom.llm import bpe, overlap, packing, residue, sampling, splits, terms
 from planloom.session import table
 
 
+P1_COLUMNS = ("variant_id", "input", "goals", "source")
+
+
+def p1_residue(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with residue and what it holds."""
+    return residue.residue(table(spark, d, "all_command_variants"), *P1_COLUMNS)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_residue(spark, d).select("variant_id")
+
+
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The records without residue."""
+    rows = table(spark, d, "all_command_variants")
+    return residue.without_residue(rows, "variant_id", residue.residue(rows, *P1_COLUMNS))
+
+
+def p1_messages(spark: SparkSession, d: str) -> DataFrame:
+    """The residue messages with rows and sources."""
+    found = residue.messages(table(spark, d, "all_command_variants"), *P1_COLUMNS).where("kind is not null")
+    return found.select("field", "unit", "kind", "n_rows", "n_sources")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     cases, rows = table(spark, d, "model_evaluation_cases"), table(spark, d, "dataset_gpsr")
     return overlap.overlap_pairs(cases, "id", "input", rows, "row_id", "input")
@@ -102,6 +126,10 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_residue": p1_residue,
+        "p1_clean": p1_clean,
+        "p1_messages": p1_messages,
         "p2_found": p2_found,
         "p2_overlaps": p2_overlaps,
         "p3_found": p3_found,
