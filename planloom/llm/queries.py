@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import bpe, overlap, packing, residue, sampling, splits, terms
+from planloom.llm import bpe, mojibake, overlap, packing, residue, sampling, splits, terms
 from planloom.session import table
 
 
@@ -124,6 +124,16 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack(table(spark, d, "documents")))
 
 
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Every garbled document with its restored text and the chains that were undone."""
+    fixed = mojibake.repair_texts(table(spark, d, "documents"), "doc_id", "text", "lang")
+    return fixed.where("garbled").select("doc_id", "restored", "chains", "repaired")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_restored(spark, d).select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -143,6 +153,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": p7_found,
         "p7_containers": p7_containers,
         "p7_fill": p7_fill,
+        "p8_found": p8_found,
+        "p8_restored": p8_restored,
     }
 
 
