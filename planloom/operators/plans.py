@@ -12,15 +12,22 @@ from planloom.functions import validate as V
 from planloom.functions.columns import strip
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator, so that filters and projections above do not evaluate them again.
+
+    A plain projection would be inlined into every filter that is pushed below it.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def with_parsed(df: DataFrame, goals: str = "goals") -> DataFrame:
-    """Add ``parsed``.  The projection is kept apart from its users so that it is computed once per row."""
-    return df.withColumn("parsed", G.parse_goals(F.col(goals)))
+    """Add ``parsed``, computed once per row."""
+    return once(df, parsed=G.parse_goals(F.col(goals)))
 
 
 def with_issues(df: DataFrame, goals: str = "goals") -> DataFrame:
-    """Add ``parsed``, ``issues`` and ``valid``."""
-    out = with_parsed(df, goals)
-    out = out.withColumn("issues", V.issues(F.col(goals), F.col("parsed")))
+    """Add ``parsed``, ``issues`` and ``valid``, computed once per row."""
+    out = once(with_parsed(df, goals), issues=V.issues(F.col(goals), F.col("parsed")))
     return out.withColumn("valid", F.size("issues") == 0)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from planloom.functions import goals as G
 from planloom.functions import validate as V
 from planloom.functions.columns import safe_ratio, text_key
+from planloom.operators.plans import once
 
 
 def latest_answers(predictions: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -35,21 +36,20 @@ def score_cases(gold: DataFrame, answers: DataFrame, key: str = "id") -> DataFra
             "normalized_input": F.coalesce("normalized_input", "input"),
         }
     )
-    rows = rows.withColumns({"expected_parsed": G.parse_goals(F.col("expected")), "predicted_parsed": G.parse_goals(F.col("predicted"))})
+    rows = once(rows, expected_parsed=G.parse_goals(F.col("expected")), predicted_parsed=G.parse_goals(F.col("predicted")))
     same = F.col("expected").eqNullSafe(F.col("predicted"))
     folded = (F.size("expected") == F.size("predicted")) & F.forall(F.arrays_zip(F.col("expected").alias("e"), F.col("predicted").alias("p")), lambda z: text_key(z["e"]).eqNullSafe(text_key(z["p"])))
-    rows = rows.withColumns(
-        {
-            "exact": same,
-            "casefold_exact": F.coalesce(folded, F.lit(False)),
-            "schema_valid": F.size(V.issues(F.col("predicted"), F.col("predicted_parsed"))) == 0,
-        }
+    rows = once(
+        rows,
+        exact=same,
+        casefold_exact=F.coalesce(folded, F.lit(False)),
+        schema_valid=F.size(V.issues(F.col("predicted"), F.col("predicted_parsed"))) == 0,
     )
     rows = rows.withColumn("case_only_difference", F.col("casefold_exact") & ~F.col("exact"))
     empty = F.create_map().cast("map<string,string>")
     # slots count for cases with a valid prediction only; gold plans that do not parse have none
     slots = lambda c: F.when(F.col("schema_valid") & G.all_parse(F.col(f"{c}_parsed")), G.semantic_slots(F.col(f"{c}_parsed"))).otherwise(empty)
-    rows = rows.withColumns({"expected_slots": slots("expected"), "predicted_slots": slots("predicted")})
+    rows = once(rows, expected_slots=slots("expected"), predicted_slots=slots("predicted"))
     return rows.drop("expected_parsed", "predicted_parsed")
 
 

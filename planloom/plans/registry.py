@@ -1,19 +1,633 @@
-"""All named queries of the core and their SQL oracles."""
+"""All named queries of the core and their SQL oracles.
+
+Every query runs over its whole tables.  The oracles are DuckDB SQL over the same
+Parquet files; queries without one are tested against brute force in ``tests``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from planloom.functions import goals as G
+from planloom.functions import normalize as N
+from planloom.functions.columns import text_key
+from planloom.functions.payload import chat_messages, extract_goals, goals_json
+from planloom.operators import balance as B
+from planloom.operators import catalog as C
+from planloom.operators import plans as P
+from planloom.operators import scoring as S
+from planloom.plans import sqltext as Q
+from planloom.session import table
+from planloom.sources.catalogs import from_rows
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def dataset(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "dataset_gpsr")
+
+
+def cases(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "model_evaluation_cases")
+
+
+FAMILY_SQL = "coalesce(nullif(family, ''), 'unknown')"
+
+
+def _family():
+    return P.family_of(F.col("family"), F.lit(None).cast("string"))
+
+
+# ---- goal strings -----------------------------------------------------------------------------
+
+
+@query(
+    f"WITH {Q.parsed_sql(Q.DATASET)} SELECT id AS row_id, i AS goal_index, CASE WHEN bad THEN NULL ELSE name END AS name, "
+    "CASE WHEN bad THEN NULL ELSE array_to_string(args, '|') END AS args, "
+    "CASE WHEN bad THEN NULL ELSE array_to_string(list_sort(list_transform(kw, lambda x: x.k || '=' || x.v)), '|') END AS slots FROM p"
+)
+def goal_parse(spark: SparkSession, d: str) -> DataFrame:
+    rows = P.with_parsed(dataset(spark, d).select("row_id", "goals"))
+    one = rows.select("row_id", F.posexplode("parsed").alias("i", "p")).withColumn("ok", G.parses(F.col("p")))
+    when = lambda c: F.when(F.col("ok"), c)
+    slots = F.array_sort(F.transform(F.map_entries("p.slots"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return one.select("row_id", (F.col("i") + 1).alias("goal_index"), when(F.col("p.name")).alias("name"), when(F.array_join("p.args", "|")).alias("args"), when(F.array_join(slots, "|")).alias("slots"))
+
+
+def _valid(df: DataFrame) -> DataFrame:
+    return P.with_issues(df).where("valid")
+
+
+VALID_SQL = f"WITH {Q.issues_sql(Q.DATASET)}, vp AS (SELECT p.* FROM p WHERE id NOT IN (SELECT id FROM issues))"
+
+
+@query(f"{VALID_SQL} SELECT signature, count(*) AS n FROM (SELECT id, string_agg(name, ' -> ' ORDER BY i) AS signature FROM vp GROUP BY id) GROUP BY signature")
+def goal_signature_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _valid(dataset(spark, d).select("goals")).groupBy(F.array_join(G.goal_signature(F.col("parsed")), " -> ").alias("signature")).agg(F.count("*").alias("n"))
+
+
+@query(f"{VALID_SQL} SELECT kind, count(*) AS n FROM (SELECT DISTINCT id, {Q.entity_kind_sql()} AS kind FROM vp) WHERE kind <> '' GROUP BY kind")
+def entity_kind_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _valid(dataset(spark, d).select("goals")).select(F.explode(G.entity_kinds(F.col("parsed"))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"{VALID_SQL} SELECT id AS row_id, array_to_string(list_sort(list_distinct(list_concat(['target'], flatten(list(list_transform(kw, lambda x: x.k))), "
+    "CASE WHEN max(len(args)) > 1 THEN ['destination'] ELSE [] END))), ',') AS slot_names FROM vp GROUP BY id"
+)
+def slot_names_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _valid(dataset(spark, d).select("row_id", "goals")).select("row_id", F.array_join(G.slot_names(F.col("parsed")), ",").alias("slot_names"))
+
+
+@query(f"WITH {Q.parsed_sql(Q.CASES)} {Q.slots_sql()}")
+def semantic_slots_long(spark: SparkSession, d: str) -> DataFrame:
+    rows = P.with_parsed(cases(spark, d).select("id", "goals")).where(G.all_parse(F.col("parsed")))
+    return rows.select("id", F.explode(G.semantic_slots(F.col("parsed"))).alias("slot_key", "slot_value"))
+
+
+_V = lambda x: f"replace(trim(trim({x}), '\"'''), ' ', '_')"
+_TO = "CASE WHEN name = 'deliver' AND len(args) > 1 THEN list_extract(args, 2) END"
+_REL = ("to", "at", "on", "in", "gesture", "pose", "wearing", "property")
+
+
+@query(
+    f"WITH {Q.parsed_sql(Q.CASES)}, f AS (SELECT id, i, name, target, {Q.entity_kind_sql()} AS ek, "
+    f"coalesce({Q.slot('to')}, {Q.slot('at')}, {Q.slot('on')}, {Q.slot('in')}, {_TO}, '') AS destination, "
+    f"CASE {' '.join(f'WHEN {Q.has(r)} THEN {r!r}' for r in _REL)} WHEN {_TO} IS NOT NULL THEN 'to' ELSE '' END AS relation, "
+    f"CASE {' '.join(f'WHEN {Q.has(r)} THEN {Q.slot(r)}' for r in _REL)} ELSE coalesce({_TO}, '') END AS value, "
+    f"CASE {' '.join(f'WHEN {Q.has(r)} THEN {(r + chr(58))!r} || {_V(Q.slot(r))}' for r in _REL[4:])} ELSE '' END AS qualifier FROM p) "
+    f"SELECT id, i AS step, '(gpsr-goal (step ' || i || ') (name ' || name || ') (target \"' || {_V('target')} || '\") (kind ' || "
+    f"CASE WHEN ek = '' THEN 'unknown' ELSE ek END || ') (destination \"' || {_V('destination')} || '\") (relation \"' || relation || '\") (value \"' || {_V('value')} "
+    "|| '\") (qualifier \"' || qualifier || '\"))' AS fact FROM f"
+)
+def planner_facts(spark: SparkSession, d: str) -> DataFrame:
+    rows = P.with_parsed(cases(spark, d).select("id", "goals")).where(G.all_parse(F.col("parsed")))
+    facts = F.transform("parsed", lambda p, i: G.planner_fact(i + 1, p))
+    return rows.select("id", F.explode(facts).alias("f")).select("id", "f.step", "f.fact")
+
+
+# ---- validation -------------------------------------------------------------------------------
+
+ISSUES_SQL = f"WITH {Q.issues_sql(Q.DATASET)}"
+
+
+@query(f"{ISSUES_SQL} SELECT code, count(*) AS n FROM issues GROUP BY code")
+def issue_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return P.issue_rows(dataset(spark, d), "row_id").groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query(f"{ISSUES_SQL} SELECT code, count(*) AS n FROM local_issues GROUP BY code")
+def issue_histogram_local(spark: SparkSession, d: str) -> DataFrame:
+    return issue_histogram(spark, d).where(F.col("code").isin(*P.V.LOCAL_CODES))
+
+
+@query(f"{ISSUES_SQL} SELECT id AS row_id, code, goal_index FROM issues")
+def issue_list(spark: SparkSession, d: str) -> DataFrame:
+    return P.issue_rows(dataset(spark, d), "row_id").select("row_id", "code", "goal_index")
+
+
+def _sequence(code: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return P.issue_rows(dataset(spark, d), "row_id").where(F.col("code") == code).select("row_id", "goal_index")
+
+    QUERIES[f"seq_{code}"] = run
+    ORACLES[f"seq_{code}"] = f"{ISSUES_SQL} SELECT id AS row_id, goal_index FROM sequence_issues WHERE code = '{code}'"
+
+
+for _code in P.V.SEQUENCE_CODES:
+    _sequence(_code)
+
+
+@query(
+    f"WITH {Q.issues_sql('SELECT prediction_id AS id, coalesce(prediction.goals, []) AS goals FROM cached_predictions')} "
+    "SELECT count(*) AS answers, count(*) FILTER (WHERE id NOT IN (SELECT id FROM issues)) AS valid, count(*) FILTER (WHERE id IN (SELECT id FROM issues)) AS invalid FROM src"
+)
+def schema_valid_rate(spark: SparkSession, d: str) -> DataFrame:
+    rows = P.with_issues(table(spark, d, "cached_predictions").select(F.coalesce("prediction.goals", F.array().cast("array<string>")).alias("goals")))
+    return rows.agg(F.count("*").alias("answers"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"))
+
+
+# ---- audit ------------------------------------------------------------------------------------
+
+AUDIT_SQL = f"""WITH {Q.issues_sql(Q.DATASET)},
+base AS (SELECT row_id AS id, {FAMILY_SQL} AS fam, surface_template_id AS tpl, row_id NOT IN (SELECT id FROM issues) AS valid FROM dataset_gpsr),
+vp AS (SELECT p.* FROM p JOIN base USING (id) WHERE base.valid),
+sig AS (SELECT id, string_agg(name, ' -> ' ORDER BY i) AS s FROM vp GROUP BY id),
+a AS (SELECT 'totals' AS section, 'rows' AS key1, '' AS key2 FROM base
+UNION ALL SELECT 'totals', CASE WHEN valid THEN 'valid' ELSE 'invalid' END, '' FROM base
+UNION ALL SELECT 'families', fam, '' FROM base
+UNION ALL SELECT 'surface_templates', fam, tpl FROM base WHERE tpl <> ''
+UNION ALL SELECT 'issues', code, '' FROM issues
+UNION ALL SELECT 'entity_kinds', k, '' FROM (SELECT DISTINCT id, {Q.entity_kind_sql()} AS k FROM vp) WHERE k <> ''
+UNION ALL SELECT 'goal_signatures', s, '' FROM sig
+UNION ALL SELECT 'family_goal_signatures', fam, s FROM sig JOIN base USING (id)
+UNION ALL SELECT 'slot_coverage', slot_key, '' FROM ({Q.slots_sql("vp")}))
+SELECT section, key1, key2, count(*) AS value FROM a GROUP BY ALL"""
+
+
+@query(AUDIT_SQL)
+def audit_report(spark: SparkSession, d: str) -> DataFrame:
+    return P.audit(dataset(spark, d), _family(), F.col("surface_template_id"))
+
+
+def _section(name: str, section: str) -> None:
+    QUERIES[name] = lambda spark, d: audit_report(spark, d).where(F.col("section") == section).drop("section")
+    ORACLES[name] = f"SELECT key1, key2, value FROM ({AUDIT_SQL}) WHERE section = '{section}'"
+
+
+_section("audit_totals", "totals")
+_section("family_counts", "families")
+_section("family_signature_counts", "family_goal_signatures")
+_section("surface_template_counts", "surface_templates")
+_section("slot_coverage", "slot_coverage")
+
+
+# ---- dedup and balance ------------------------------------------------------------------------
+
+KEY_SQL = Q.text_key("coalesce(input, '')")
+SAME = "(goals IS NOT DISTINCT FROM first_goals)"
+
+
+@query(f"SELECT row_id, input FROM (SELECT row_id, input, row_number() OVER (PARTITION BY {KEY_SQL} ORDER BY row_id) AS r FROM dataset_gpsr) WHERE r = 1")
+def dedup_first_wins(spark: SparkSession, d: str) -> DataFrame:
+    return B.dedup_first(dataset(spark, d).select("row_id", "input"), "row_id")
+
+
+@query(
+    f"""{ISSUES_SQL}, base AS (SELECT row_id, goals, {KEY_SQL} AS k, row_id NOT IN (SELECT id FROM issues) AS ok FROM dataset_gpsr),
+f AS (SELECT *, CASE WHEN ok THEN first_value(row_id) OVER w END AS first_id, CASE WHEN ok THEN first_value(goals) OVER w END AS first_goals FROM base WINDOW w AS (PARTITION BY k, ok ORDER BY row_id))
+SELECT CASE WHEN NOT ok THEN 'invalid_label' WHEN row_id = first_id THEN 'added' WHEN {SAME} THEN 'duplicate' ELSE 'label_conflict' END AS status, count(*) AS n FROM f GROUP BY 1"""
+)
+def dedup_status_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = P.with_issues(dataset(spark, d).select("row_id", "input", "goals")).select("row_id", "input", "goals", "valid")
+    return B.dedup_status(rows, "row_id", valid=F.col("valid")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+STRATA_SQL = (
+    f"{VALID_SQL}, strata AS (SELECT CASE WHEN meta.category = 'people' THEN 'people' ELSE 'objects' END AS category, {FAMILY_SQL} AS family, s AS signature, count(*) AS capacity "
+    "FROM (SELECT id, string_agg(name, ' -> ' ORDER BY i) AS s FROM vp GROUP BY id) x JOIN dataset_gpsr ON row_id = x.id GROUP BY 1, 2, 3)"
+)
+N_SAMPLES = 4000
+
+
+def _valid_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = _valid(dataset(spark, d).select("row_id", "goals", "meta", "family"))
+    category = F.when(F.col("meta.category") == "people", "people").otherwise("objects")
+    return rows.select("row_id", category.alias("category"), _family().alias("family"), F.array_join(G.goal_signature(F.col("parsed")), " -> ").alias("signature"))
+
+
+def _strata(spark: SparkSession, d: str) -> DataFrame:
+    return _valid_rows(spark, d).groupBy("category", "family", "signature").agg(F.count("*").alias("capacity"))
+
+
+@query(f"{STRATA_SQL} SELECT DISTINCT category, family, signature FROM strata")
+def signature_discovery(spark: SparkSession, d: str) -> DataFrame:
+    return B.signatures(_valid_rows(spark, d), F.col("signature"))
+
+
+@query("SELECT family, CAST(1000 // n + (CASE WHEN r <= 1000 % n THEN 1 ELSE 0 END) AS BIGINT) AS quota FROM (SELECT family, row_number() OVER (ORDER BY family) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT " + FAMILY_SQL + " AS family FROM dataset_gpsr))")
+def even_quota(spark: SparkSession, d: str) -> DataFrame:
+    families = dataset(spark, d).select(_family().alias("family")).distinct()
+    return B.even_quota(families, ["family"], F.lit(1000).cast("long"))
+
+
+HIERARCHY_SQL = f"""{STRATA_SQL}, fam AS (SELECT category, family, CAST(2000 // n + (CASE WHEN r <= 2000 % n THEN 1 ELSE 0 END) AS BIGINT) AS family_quota FROM
+ (SELECT category, family, row_number() OVER (PARTITION BY category ORDER BY family) AS r, count(*) OVER (PARTITION BY category) AS n FROM (SELECT DISTINCT category, family FROM strata))),
+h AS (SELECT category, family, signature, family_quota, CAST(family_quota // n + (CASE WHEN r <= family_quota % n THEN 1 ELSE 0 END) AS BIGINT) AS quota FROM
+ (SELECT s.category, s.family, signature, family_quota, row_number() OVER (PARTITION BY s.category, s.family ORDER BY signature) AS r, count(*) OVER (PARTITION BY s.category, s.family) AS n
+  FROM strata s JOIN fam USING (category, family)))"""
+
+
+@query(f"{HIERARCHY_SQL} SELECT * FROM h")
+def hierarchical_quota(spark: SparkSession, d: str) -> DataFrame:
+    return B.hierarchical_quota(_strata(spark, d), N_SAMPLES, 0.5).select("category", "family", "signature", "family_quota", "quota")
+
+
+def _final_quotas(spark: SparkSession, d: str) -> DataFrame:
+    strata = _strata(spark, d)
+    return B.water_fill(B.hierarchical_quota(strata, N_SAMPLES, 0.5).join(strata, ["category", "family", "signature"]))
+
+
+@query()
+def waterfill_quota(spark: SparkSession, d: str) -> DataFrame:
+    return _final_quotas(spark, d)
+
+
+@query(
+    f"{HIERARCHY_SQL}, c AS (SELECT row_id, CASE WHEN meta.category = 'people' THEN 'people' ELSE 'objects' END AS category, {FAMILY_SQL} AS family, s AS signature FROM "
+    "(SELECT id, string_agg(name, ' -> ' ORDER BY i) AS s FROM vp GROUP BY id) x JOIN dataset_gpsr ON row_id = x.id) "
+    "SELECT row_id, category, family, signature FROM (SELECT c.*, quota, row_number() OVER (PARTITION BY category, family, signature ORDER BY md5('42:' || row_id), row_id) AS r "
+    "FROM c JOIN h USING (category, family, signature)) WHERE r <= quota"
+)
+def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
+    quotas = B.hierarchical_quota(_strata(spark, d), N_SAMPLES, 0.5)
+    return B.fill_strata(_valid_rows(spark, d), quotas, ["category", "family", "signature"], F.col("row_id"), 42, "quota").drop("rank")
+
+
+@query()
+def balanced_sample(spark: SparkSession, d: str) -> DataFrame:
+    return B.fill_strata(_valid_rows(spark, d), _final_quotas(spark, d), ["category", "family", "signature"], F.col("row_id"), 42).drop("rank")
+
+
+@query(f"{STRATA_SQL} SELECT category, family, signature, capacity AS n, capacity * 100.0::DOUBLE / sum(capacity) OVER () AS percent FROM strata")
+def distribution_report(spark: SparkSession, d: str) -> DataFrame:
+    return B.distribution(_valid_rows(spark, d), ["category", "family", "signature"])
+
+
+@query("SELECT row_id, md5('7:' || row_id) AS h FROM dataset_gpsr ORDER BY h, row_id LIMIT 500")
+def hash_shuffle_topn(spark: SparkSession, d: str) -> DataFrame:
+    """The head of the seeded permutation; the limit is the feature."""
+    rows = dataset(spark, d).select("row_id", B.hash_rank(7, F.col("row_id")).alias("h"))
+    return rows.orderBy("h", "row_id").limit(500)
+
+
+@query("SELECT row_id, CASE WHEN row_number() OVER (ORDER BY md5('11:' || row_id), row_id) <= ceil(count(*) OVER () * 0.1) THEN 'eval' ELSE 'train' END AS part FROM dataset_gpsr")
+def train_eval_split(spark: SparkSession, d: str) -> DataFrame:
+    return B.split_eval(dataset(spark, d).select("row_id"), F.col("row_id"), 11)
+
+
+@query("SELECT row_id, input FROM dataset_gpsr ORDER BY row_id LIMIT 200")
+def first_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The first 200 rows by id, as a gate samples them; the limit is the feature."""
+    return dataset(spark, d).select("row_id", "input").orderBy("row_id").limit(200)
+
+
+# ---- scoring ----------------------------------------------------------------------------------
+
+ANSWERS_SQL = "ans AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY predicted_at DESC, prediction_id DESC) AS r FROM cached_predictions) WHERE r = 1)"
+_EQ_FOLD = f"len(expected) = len(predicted) AND list_bool_and(list_transform(list_zip(expected, predicted), lambda z: {Q.text_key('z[1]')} = {Q.text_key('z[2]')}))"
+SCORED_SQL = f"""WITH {ANSWERS_SQL},
+sc0 AS (SELECT c.id, c.input, coalesce(nullif(c.meta.family, ''), 'unknown') AS family, c.goals AS expected, coalesce(a.prediction.goals, []) AS predicted,
+  coalesce(a.normalized_input, c.input) AS normalized_input, a._elapsed_ms AS elapsed_ms, a.error, a.raw FROM model_evaluation_cases c LEFT JOIN ans a USING (id)),
+{Q.issues_sql("SELECT id, predicted AS goals FROM sc0")},
+sc AS (SELECT *, expected = predicted AS exact, coalesce(CASE WHEN len(expected) = 0 AND len(predicted) = 0 THEN true ELSE {_EQ_FOLD} END, false) AS casefold_exact,
+  id NOT IN (SELECT id FROM issues) AS schema_valid FROM sc0)"""
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    gold = cases(spark, d).select("id", "input", F.col("goals").alias("expected"), P.family_of(F.lit(None).cast("string"), F.col("meta.family")).alias("family"))
+    found = table(spark, d, "cached_predictions").select(
+        "id", "prediction_id", "predicted_at", F.col("prediction.goals").alias("predicted"), "normalized_input", F.col("_elapsed_ms").alias("elapsed_ms"), "error", "raw"
+    )
+    answers = S.latest_answers(found, "id", ["predicted_at", "prediction_id"]).drop("predicted_at", "prediction_id")
+    return S.score_cases(gold, answers)
+
+
+_RATIO = lambda n, d: f"coalesce(CAST({n} AS DOUBLE) / nullif(CAST({d} AS DOUBLE), 0), 0.0::DOUBLE)"
+BY_FAMILY_SQL = (
+    f"{SCORED_SQL} SELECT family, count(*) AS total, count(*) FILTER (WHERE exact) AS exact, {_RATIO('count(*) FILTER (WHERE exact)', 'count(*)')} AS accuracy, "
+    f"count(*) FILTER (WHERE casefold_exact) AS casefold_exact, {_RATIO('count(*) FILTER (WHERE casefold_exact)', 'count(*)')} AS casefold_accuracy FROM sc GROUP BY family"
+)
+
+
+@query(BY_FAMILY_SQL)
+def exact_by_family(spark: SparkSession, d: str) -> DataFrame:
+    return S.exact_by_family(scored(spark, d))
+
+
+def _pairs_sql() -> str:
+    gold = Q.parsed_sql("SELECT id, goals FROM model_evaluation_cases")
+    for name in ("src", "g", "m", "t", "k", "p"):
+        gold = gold.replace(f"\n{name} AS (", f"\ne{name} AS (").replace(f"FROM {name})", f"FROM e{name})").replace(f"FROM {name}\n", f"FROM e{name}\n")
+    return (
+        f"{SCORED_SQL},{gold}, "
+        f"es AS (SELECT x.* FROM ({Q.slots_sql('ep')}) x JOIN sc USING (id) WHERE schema_valid), ps AS (SELECT x.* FROM ({Q.slots_sql('p')}) x JOIN sc USING (id) WHERE schema_valid), "
+        "pairs AS (SELECT es.id, es.slot_key, es.slot_value AS want, ps.slot_value AS got FROM es LEFT JOIN ps ON es.id = ps.id AND es.slot_key = ps.slot_key)"
+    )
+
+
+PAIRS_SQL = _pairs_sql()
+_SUMS = "CAST(c AS BIGINT) AS correct, CAST(e AS BIGINT) AS expected, CAST(p AS BIGINT) AS predicted"
+
+
+def _prf_sql(hit: str) -> str:
+    prec, rec = _RATIO("c", "p"), _RATIO("c", "e")
+    return (
+        f"{PAIRS_SQL}, sums AS (SELECT (SELECT count(*) FROM pairs WHERE {hit}) AS c, (SELECT count(*) FROM es) AS e, (SELECT count(*) FROM ps) AS p) "
+        f"SELECT {_SUMS}, {prec} AS precision, {rec} AS recall, {_RATIO(f'2 * {prec} * {rec}', f'({prec} + {rec})')} AS f1 FROM sums"
+    )
+
+
+@query(_prf_sql("got = want"))
+def slot_prf(spark: SparkSession, d: str) -> DataFrame:
+    return S.slot_scores(scored(spark, d))
+
+
+FOLD_HIT = f"{Q.text_key(chr(99) + 'oalesce(got, ' + chr(39) * 2 + ')')} = {Q.text_key('want')}"
+
+
+@query(_prf_sql(FOLD_HIT))
+def casefold_slot_prf(spark: SparkSession, d: str) -> DataFrame:
+    return S.slot_scores(scored(spark, d), folded=True)
+
+
+@query(f"{PAIRS_SQL} SELECT want AS kind, count(*) AS total, count(*) FILTER (WHERE got = want) AS correct, {_RATIO('count(*) FILTER (WHERE got = want)', 'count(*)')} AS accuracy FROM pairs WHERE slot_key LIKE '%.kind' GROUP BY want")
+def kind_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    return S.kind_scores(scored(spark, d))
+
+
+DETAILS_SQL = f"{SCORED_SQL} SELECT id, family, exact, casefold_exact, casefold_exact AND NOT exact AS case_only_difference, elapsed_ms, input, normalized_input, array_to_string(expected, ';') AS expected, array_to_string(predicted, ';') AS predicted, error AS prediction_error, raw FROM sc"
+
+
+@query(DETAILS_SQL)
+def case_details(spark: SparkSession, d: str) -> DataFrame:
+    return scored(spark, d).select(
+        "id", "family", "exact", "casefold_exact", "case_only_difference", "elapsed_ms", "input", "normalized_input",
+        F.array_join("expected", ";").alias("expected"), F.array_join("predicted", ";").alias("predicted"), F.col("error").alias("prediction_error"), "raw",
+    )
+
+
+@query(f"{SCORED_SQL} SELECT id, family, CASE WHEN exact THEN 'OK' WHEN casefold_exact THEN 'CASE-OK' ELSE 'ERROR' END AS status FROM sc")
+def case_status(spark: SparkSession, d: str) -> DataFrame:
+    return S.status(scored(spark, d))
+
+
+@query(f"SELECT id, family, input, prediction_error FROM ({DETAILS_SQL}) WHERE NOT exact AND NOT case_only_difference")
+def error_cases(spark: SparkSession, d: str) -> DataFrame:
+    return case_details(spark, d).where("not exact and not case_only_difference").select("id", "family", "input", "prediction_error")
+
+
+@query(f"{SCORED_SQL} SELECT CASE WHEN exact THEN 'exact' WHEN casefold_exact THEN 'case_only' ELSE 'error' END AS outcome, count(*) AS n FROM sc GROUP BY 1")
+def outcome_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return S.outcome(scored(spark, d))
+
+
+@query(
+    f"{SCORED_SQL} SELECT count(elapsed_ms) AS n, round(coalesce(avg(elapsed_ms), 0.0), 4) AS mean_ms, round(coalesce(quantile_cont(elapsed_ms, 0.5), 0.0), 6) AS p50_ms, "
+    "round(coalesce(quantile_cont(elapsed_ms, 0.95), 0.0), 6) AS p95_ms FROM sc"
+)
+def latency_stats(spark: SparkSession, d: str) -> DataFrame:
+    r = lambda c, n: F.round(c, n).alias(c)
+    return S.latency_stats(scored(spark, d)).select("n", r("mean_ms", 4), r("p50_ms", 6), r("p95_ms", 6))
+
+
+@query(
+    f"""{SCORED_SQL}, v AS (SELECT elapsed_ms AS v FROM sc WHERE elapsed_ms IS NOT NULL), e AS (SELECT min(v) AS lo, max(v) AS hi, least(12, greatest(4, count(*) // 4)) AS bins FROM v),
+b AS (SELECT CAST(least(bins - 1, floor((v - lo) / ((hi - lo) / bins))) AS INTEGER) AS bin FROM v, e) SELECT bin, count(*) AS n FROM b GROUP BY bin"""
+)
+def latency_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return S.latency_histogram(scored(spark, d)).select("bin", "n")
+
+
+_ONE = lambda hit, where="true": f"(SELECT count(*) FILTER (WHERE {hit}) FROM pairs WHERE {where})"
+_KIND = lambda k: f"slot_key LIKE '%.kind' AND want = '{k}'"
+_F1 = lambda hit: _RATIO(f"2 * {_ONE(hit)}", "((SELECT count(*) FROM es) + (SELECT count(*) FROM ps))")
+_SC = lambda c: _RATIO(f"(SELECT count(*) FROM sc WHERE {c})", "(SELECT count(*) FROM sc)")
+
+
+@query(
+    f"""{PAIRS_SQL} SELECT 'exact_accuracy' AS metric, {_SC("exact")} AS value UNION ALL SELECT 'casefold_exact_accuracy', {_SC("casefold_exact")}
+UNION ALL SELECT 'schema_valid_rate', {_SC("schema_valid")} UNION ALL SELECT 'slots_f1', {_F1("got = want")} UNION ALL SELECT 'casefold_slots_f1', {_F1(FOLD_HIT)}
+UNION ALL SELECT 'kind_person_accuracy', {_RATIO(_ONE("got = want", _KIND("person")), _ONE("true", _KIND("person")))}
+UNION ALL SELECT 'kind_object_accuracy', {_RATIO(_ONE("got = want", _KIND("object")), _ONE("true", _KIND("object")))}"""
+)
+def metrics_overview(spark: SparkSession, d: str) -> DataFrame:
+    return S.overview(scored(spark, d)).select("metric", "value")
+
+
+@query(f"SELECT family, accuracy, casefold_accuracy, CAST(row_number() OVER (ORDER BY casefold_accuracy, accuracy, family) AS INTEGER) AS rank FROM ({BY_FAMILY_SQL})")
+def family_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return S.family_ranking(exact_by_family(spark, d)).select("family", "accuracy", "casefold_accuracy", "rank")
+
+
+@query(f"{SCORED_SQL} SELECT count(*) AS cases, count(*) FILTER (WHERE NOT casefold_exact) AS misses, count(*) FILTER (WHERE NOT casefold_exact) = 0 AS passed FROM sc")
+def perfect_gate(spark: SparkSession, d: str) -> DataFrame:
+    return S.perfect_gate(scored(spark, d))
+
+
+# ---- catalogs ---------------------------------------------------------------------------------
+
+CATALOG_SQL = f"""WITH k AS (SELECT entry_group AS grp, entry_value AS value, {Q.squeeze(Q.fold("replace(entry_value, '_', ' ')"))} AS key FROM catalog_entries WHERE entry_value IS NOT NULL)"""
+GROUPS = ["names", "rooms", "locations", "objects", "clothing", "categories"]
+
+
+def catalog(spark: SparkSession, d: str) -> DataFrame:
+    return from_rows(table(spark, d, "catalog_entries"))
+
+
+@query(f"{CATALOG_SQL} SELECT grp AS \"group\", key, count(*) AS n FROM k GROUP BY 1, 2 HAVING count(*) > 1")
+def catalog_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return C.duplicates(catalog(spark, d))
+
+
+@query(f"{CATALOG_SQL} SELECT g AS \"group\" FROM (SELECT unnest({GROUPS!r}) AS g) WHERE g NOT IN (SELECT grp FROM k)")
+def catalog_empty(spark: SparkSession, d: str) -> DataFrame:
+    return C.empty_groups(catalog(spark, d), GROUPS)
+
+
+@query(f"{CATALOG_SQL} SELECT DISTINCT key FROM k WHERE grp = 'names' AND key <> '' AND key IN (SELECT key FROM k WHERE grp IN ('objects', 'clothing'))")
+def catalog_collisions(spark: SparkSession, d: str) -> DataFrame:
+    return C.collisions(catalog(spark, d), ["names"], ["objects", "clothing"])
+
+
+@query(f"{CATALOG_SQL} SELECT grp AS \"group\", value FROM k WHERE grp = 'objects' AND value <> {Q.fold('value')}")
+def catalog_case(spark: SparkSession, d: str) -> DataFrame:
+    return C.unusual_case(catalog(spark, d), ["objects"])
+
+
+@query(
+    f"""{CATALOG_SQL}, a AS (SELECT DISTINCT key FROM k WHERE grp = 'rooms' AND key <> ''), b AS (SELECT DISTINCT key FROM k WHERE grp = 'locations' AND key <> '')
+SELECT key, 'only_local' AS side FROM a WHERE key NOT IN (SELECT key FROM b) UNION ALL SELECT key, 'only_external' FROM b WHERE key NOT IN (SELECT key FROM a)"""
+)
+def catalog_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Rooms against locations: what either list has alone."""
+    rows = catalog(spark, d)
+    return C.drift(rows.where("`group` = 'rooms'"), rows.where("`group` = 'locations'"))
+
+
+@query()
+def catalog_report(spark: SparkSession, d: str) -> DataFrame:
+    return C.catalog_issues(catalog(spark, d), ["names"], ["objects"], ["names", "objects", "locations", "rooms"])
+
+
+# ---- normalisation ----------------------------------------------------------------------------
+
+_CLEAN = lambda x: Q.squeeze(f"replace(regexp_replace(translate(lower({x}), '_-’', '  '''), '[,.;:!?()\\[\\]{{}}]', ' ', 'g'), '''', '')")
+# words only, doubled blanks and blanks around: phrases are then plain substrings
+_WORDS = lambda x: f"' ' || replace(trim(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), ' ', '  ') || ' '"
+
+
+def _plain(c):
+    """Letters, digits and single blanks only, so that both engines agree on word borders."""
+    return F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}_]+", " "))
+
+
+def _chain(x: str, pairs: list[tuple[str, str]]) -> str:
+    """Replace whole phrases one after the other in text with doubled blanks."""
+    for a, b in pairs:
+        x = f"replace({x}, ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')"
+    return x
+
+
+@query(f"SELECT row_id, {_CLEAN('input')} AS cleaned FROM dataset_gpsr WHERE input IS NOT NULL")
+def norm_cleanup(spark: SparkSession, d: str) -> DataFrame:
+    return dataset(spark, d).where("input is not null").select("row_id", N.cleanup(F.col("input")).alias("cleaned"))
+
+
+_NO_FILL = _chain(_WORDS("input"), [(p, " ") for p in N.FILLER_PHRASES])
+_FILL_SQL = (
+    f"array_to_string(list_filter(string_split(trim(regexp_replace({_NO_FILL}, ' +', ' ', 'g')), ' '), lambda w: w NOT IN ({', '.join(repr(w) for w in N.FILLER_WORDS)}) AND w <> ''), ' ')"
+)
+
+
+@query(f"SELECT row_id, {_FILL_SQL} AS text FROM (SELECT row_id, {_CLEAN('input')} AS input FROM dataset_gpsr WHERE input IS NOT NULL)")
+def norm_fillers(spark: SparkSession, d: str) -> DataFrame:
+    return dataset(spark, d).where("input is not null").select("row_id", N.remove_fillers(_plain(N.cleanup(F.col("input")))).alias("text"))
+
+
+@query(
+    f"""SELECT row_id, trim(regexp_replace(array_to_string(list_transform(list_filter(list_zip(w, list_concat([NULL], w[1:len(w) - 1])), lambda z: z[2] IS NULL OR z[1] <> z[2]), lambda z: z[1]), ' '),
+'\\bthe person the ([a-z ]+? person)\\b', 'the \\1', 'g')) AS text FROM (SELECT row_id, string_split({Q.squeeze("regexp_replace(" + _CLEAN("input") + ", '[^\\p{L}\\p{N}_]+', ' ', 'g')")}, ' ') AS w FROM dataset_gpsr WHERE input IS NOT NULL)"""
+)
+def norm_repetitions(spark: SparkSession, d: str) -> DataFrame:
+    return dataset(spark, d).where("input is not null").select("row_id", N.remove_repetitions(_plain(N.cleanup(F.col("input")))).alias("text"))
+
+
+_ALIASES = [(a, b) for a, b in sorted(N.PHRASE_ALIASES.items(), key=lambda x: -len(x[0])) if a != b and "'" not in a]
+
+
+@query(f"SELECT row_id, trim(regexp_replace({_chain(_WORDS('input'), _ALIASES)}, ' +', ' ', 'g')) AS text FROM (SELECT row_id, {_CLEAN('input')} AS input FROM dataset_gpsr WHERE input IS NOT NULL)")
+def norm_phrase_aliases(spark: SparkSession, d: str) -> DataFrame:
+    return dataset(spark, d).where("input is not null").select("row_id", N.replace_aliases(_plain(N.cleanup(F.col("input"))), N.PHRASE_ALIASES).alias("text"))
+
+
+MAX_ENTITIES = 20_000  # names a normaliser may carry; its aliases travel with the plan of every task
+
+
+def _entity_aliases(spark: SparkSession, d: str) -> dict[str, str]:
+    rows = catalog(spark, d).where("value is not null").orderBy("group", "pos", "value").limit(MAX_ENTITIES + 1).collect()
+    if len(rows) > MAX_ENTITIES:
+        raise ValueError(f"more than {MAX_ENTITIES} catalog entries")
+    return N.entity_aliases([r["value"].replace("_", " ") for r in rows if r["group"] == "names"], [r["value"] for r in rows if r["group"] != "names"])
+
+
+@query()
+def norm_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    """The fuzzy entity step after the exact ones, on every case; tested against difflib itself."""
+    cleaned = N.replace_aliases(N.remove_repetitions(N.remove_fillers(N.cleanup(F.col("input")))), N.PHRASE_ALIASES)
+    scan = N.fuzzy_entities(_entity_aliases(spark, d))
+    rows = P.once(cases(spark, d).select("id", "input").where("input is not null"), cleaned=cleaned)
+    return rows.select("id", scan("cleaned").alias("text"))
+
+
+@query()
+def norm_steps(spark: SparkSession, d: str) -> DataFrame:
+    steps = N.normalize_steps(F.col("input"))
+    return dataset(spark, d).where("input is not null").select("row_id", steps.alias("s")).select("row_id", "s.normalized", F.array_join("s.changes", ",").alias("changes"))
+
+
+# ---- payloads ---------------------------------------------------------------------------------
+
+
+@query("SELECT row_id, coalesce(nullif(family, ''), 'unknown') AS family FROM dataset_gpsr")
+def family_resolution(spark: SparkSession, d: str) -> DataFrame:
+    text = F.to_json(F.struct(F.col("family")))
+    return dataset(spark, d).select("row_id", P.family_of(F.lit(None).cast("string"), P.family_from_json(text)).alias("family"))
+
+
+@query("SELECT variant_id, (contains(t, 'WARNING') OR contains(t, 'None') OR contains(t, '{') OR contains(t, '}')) AS marked FROM (SELECT variant_id, coalesce(input, '') || array_to_string(coalesce(goals, []), '') AS t FROM all_command_variants)")
+def marker_filter(spark: SparkSession, d: str) -> DataFrame:
+    texts = F.concat(F.coalesce("input", F.lit("")), F.array_join(F.coalesce("goals", F.array().cast("array<string>")), ""))
+    return table(spark, d, "all_command_variants").select("variant_id", P.has_marker(texts).alias("marked"))
+
+
+@query(
+    f"WITH {Q.issues_sql('SELECT variant_id AS id, goals FROM all_command_variants')} SELECT variant_id, (goals IS NOT NULL AND len(goals) > 0 AND variant_id NOT IN (SELECT id FROM issues) "
+    "AND NOT (contains(array_to_string(goals, ''), 'WARNING') OR contains(array_to_string(goals, ''), 'None') OR contains(array_to_string(goals, ''), '{') OR contains(array_to_string(goals, ''), '}'))) AS usable FROM all_command_variants"
+)
+def payload_validity(spark: SparkSession, d: str) -> DataFrame:
+    rows = P.with_parsed(table(spark, d, "all_command_variants").select("variant_id", "goals"))
+    return rows.select("variant_id", P.usable_payload(F.col("goals"), F.col("parsed")).alias("usable"))
+
+
+@query("SELECT row_id, 'user' AS role, input AS content FROM dataset_gpsr WHERE input IS NOT NULL UNION ALL SELECT row_id, 'system', 'Translate the command.' FROM dataset_gpsr WHERE input IS NOT NULL")
+def chat_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = dataset(spark, d).where("input is not null").select("row_id", F.explode(chat_messages("Translate the command.", F.col("input"))).alias("m"))
+    return rows.select("row_id", "m.role", "m.content")
+
+
+@query("""SELECT id, '{"goals":[' || array_to_string(list_transform(goals, lambda g: '"' || replace(replace(g, '\\', '\\\\'), '"', '\\"') || '"'), ',') || ']}' AS response FROM model_evaluation_cases""")
+def goals_to_json(spark: SparkSession, d: str) -> DataFrame:
+    return cases(spark, d).select("id", goals_json(F.col("goals")).alias("response"))
+
+
+@query("SELECT id, array_to_string(goals, ';') AS goals FROM model_evaluation_cases")
+def json_extract(spark: SparkSession, d: str) -> DataFrame:
+    """Goals back out of a model-like output around their JSON text."""
+    output = F.concat(F.lit("Here is the plan: "), goals_json(F.col("goals")), F.lit(" done."))
+    return cases(spark, d).select("id", F.array_join(extract_goals(output), ";").alias("goals"))
+
+
+@query(f"SELECT id, {Q.text_key('input')} AS key FROM model_evaluation_cases WHERE input IS NOT NULL")
+def dedup_keys(spark: SparkSession, d: str) -> DataFrame:
+    return cases(spark, d).where("input is not null").select("id", text_key(F.col("input")).alias("key"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Exact and case-folded accuracy by family, with the slot scores of each family."""
+    rows = scored(spark, sf_dir)
+    slots = S.slot_scores(rows, by=["family"]).select("family", F.col("f1").alias("slot_f1"))
+    return S.exact_by_family(rows).join(slots, "family")
