@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from planloom.functions import goals as G
 from planloom.functions import validate as V
 from planloom.functions.columns import strip
+from planloom.session import spread
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -21,8 +22,8 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def with_parsed(df: DataFrame, goals: str = "goals") -> DataFrame:
-    """Add ``parsed``, computed once per row."""
-    return once(df, parsed=G.parse_goals(F.col(goals)))
+    """Add ``parsed``, computed once per row; a table in fewer splits than cores is spread first."""
+    return once(spread(df), parsed=G.parse_goals(F.col(goals)))
 
 
 def with_issues(df: DataFrame, goals: str = "goals") -> DataFrame:

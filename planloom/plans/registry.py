@@ -20,7 +20,7 @@ from planloom.operators import catalog as C
 from planloom.operators import plans as P
 from planloom.operators import scoring as S
 from planloom.plans import sqltext as Q
-from planloom.session import table
+from planloom.session import cut, spread, table
 from planloom.sources.catalogs import from_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,6 +215,7 @@ SELECT CASE WHEN NOT ok THEN 'invalid_label' WHEN row_id = first_id THEN 'added'
 )
 def dedup_status_counts(spark: SparkSession, d: str) -> DataFrame:
     rows = P.with_issues(dataset(spark, d).select("row_id", "input", "goals")).select("row_id", "input", "goals", "valid")
+    rows = cut(rows)  # validated once, read twice
     return B.dedup_status(rows, "row_id", valid=F.col("valid")).groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -228,11 +229,12 @@ N_SAMPLES = 4000
 def _valid_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = _valid(dataset(spark, d).select("row_id", "goals", "meta", "family"))
     category = F.when(F.col("meta.category") == "people", "people").otherwise("objects")
-    return rows.select("row_id", category.alias("category"), _family().alias("family"), F.array_join(G.goal_signature(F.col("parsed")), " -> ").alias("signature"))
+    # parsed once: the strata are counted and the rows are ranked from the checkpoint
+    return cut(rows.select("row_id", category.alias("category"), _family().alias("family"), F.array_join(G.goal_signature(F.col("parsed")), " -> ").alias("signature")))
 
 
-def _strata(spark: SparkSession, d: str) -> DataFrame:
-    return _valid_rows(spark, d).groupBy("category", "family", "signature").agg(F.count("*").alias("capacity"))
+def _strata(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("category", "family", "signature").agg(F.count("*").alias("capacity"))
 
 
 @query(f"{STRATA_SQL} SELECT DISTINCT category, family, signature FROM strata")
@@ -255,17 +257,17 @@ h AS (SELECT category, family, signature, family_quota, CAST(family_quota // n +
 
 @query(f"{HIERARCHY_SQL} SELECT * FROM h")
 def hierarchical_quota(spark: SparkSession, d: str) -> DataFrame:
-    return B.hierarchical_quota(_strata(spark, d), N_SAMPLES, 0.5).select("category", "family", "signature", "family_quota", "quota")
+    return B.hierarchical_quota(_strata(_valid_rows(spark, d)), N_SAMPLES, 0.5).select("category", "family", "signature", "family_quota", "quota")
 
 
-def _final_quotas(spark: SparkSession, d: str) -> DataFrame:
-    strata = _strata(spark, d)
+def _final_quotas(rows: DataFrame) -> DataFrame:
+    strata = _strata(rows)
     return B.water_fill(B.hierarchical_quota(strata, N_SAMPLES, 0.5).join(strata, ["category", "family", "signature"]))
 
 
 @query()
 def waterfill_quota(spark: SparkSession, d: str) -> DataFrame:
-    return _final_quotas(spark, d)
+    return _final_quotas(_valid_rows(spark, d))
 
 
 @query(
@@ -275,13 +277,15 @@ def waterfill_quota(spark: SparkSession, d: str) -> DataFrame:
     "FROM c JOIN h USING (category, family, signature)) WHERE r <= quota"
 )
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
-    quotas = B.hierarchical_quota(_strata(spark, d), N_SAMPLES, 0.5)
-    return B.fill_strata(_valid_rows(spark, d), quotas, ["category", "family", "signature"], F.col("row_id"), 42, "quota").drop("rank")
+    rows = _valid_rows(spark, d)
+    quotas = B.hierarchical_quota(_strata(rows), N_SAMPLES, 0.5)
+    return B.fill_strata(rows, quotas, ["category", "family", "signature"], F.col("row_id"), 42, "quota").drop("rank")
 
 
 @query()
 def balanced_sample(spark: SparkSession, d: str) -> DataFrame:
-    return B.fill_strata(_valid_rows(spark, d), _final_quotas(spark, d), ["category", "family", "signature"], F.col("row_id"), 42).drop("rank")
+    rows = _valid_rows(spark, d)
+    return B.fill_strata(rows, _final_quotas(rows), ["category", "family", "signature"], F.col("row_id"), 42).drop("rank")
 
 
 @query(f"{STRATA_SQL} SELECT category, family, signature, capacity AS n, capacity * 100.0::DOUBLE / sum(capacity) OVER () AS percent FROM strata")
@@ -543,7 +547,7 @@ _ALIASES = [(a, b) for a, b in sorted(N.PHRASE_ALIASES.items(), key=lambda x: -l
 
 @query(f"SELECT row_id, trim(regexp_replace({_chain(_WORDS('input'), _ALIASES)}, ' +', ' ', 'g')) AS text FROM (SELECT row_id, {_CLEAN('input')} AS input FROM dataset_gpsr WHERE input IS NOT NULL)")
 def norm_phrase_aliases(spark: SparkSession, d: str) -> DataFrame:
-    return dataset(spark, d).where("input is not null").select("row_id", N.replace_aliases(_plain(N.cleanup(F.col("input"))), N.PHRASE_ALIASES).alias("text"))
+    return spread(dataset(spark, d).select("row_id", "input")).where("input is not null").select("row_id", N.replace_aliases(_plain(N.cleanup(F.col("input"))), N.PHRASE_ALIASES).alias("text"))
 
 
 MAX_ENTITIES = 20_000  # names a normaliser may carry; its aliases travel with the plan of every task
@@ -568,7 +572,7 @@ def norm_fuzzy(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def norm_steps(spark: SparkSession, d: str) -> DataFrame:
     steps = N.normalize_steps(F.col("input"))
-    return dataset(spark, d).where("input is not null").select("row_id", steps.alias("s")).select("row_id", "s.normalized", F.array_join("s.changes", ",").alias("changes"))
+    return spread(dataset(spark, d).select("row_id", "input")).where("input is not null").select("row_id", steps.alias("s")).select("row_id", "s.normalized", F.array_join("s.changes", ",").alias("changes"))
 
 
 # ---- payloads ---------------------------------------------------------------------------------
