@@ -16,7 +16,7 @@ def read_records(spark: SparkSession, path: str, schema: str, files_per_trigger:
 
 def checked_stream(df: DataFrame, text: str = "input", goals: str = "goals") -> DataFrame:
     """Normalised text, issues and validity of each arriving row."""
-    return with_issues(df.withColumn("normalized_input", normalize(F.col(text), fuzzy=False)), goals).drop("parsed")
+    return with_issues(df.withColumn("normalized_input", normalize(F.col(text))), goals).drop("parsed")
 
 
 def first_per_text(df: DataFrame, time: str, text: str = "input", late: str = "1 day") -> DataFrame:
