@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from planloom.functions.columns import casefold
 from planloom.operators.balance import hash_rank
+from planloom.session import cut
 
 PLACE = r"\{([^{}]+)\}"
 FOLLOWUP = r"\{FOLLOWUP:([^{}]+)\}"
@@ -60,19 +61,19 @@ def expand_followups(templates: DataFrame, followups: DataFrame, depth: int = 3)
     now = templates
     for _ in range(depth):
         key = F.regexp_extract("template", FOLLOWUP, 1)
-        named = now.withColumn("__key", F.when(key != "", key))
-        done = named.where("__key is null").drop("__key")
-        grown = named.where("__key is not null").join(side, "__key")
+        # a left join keeps the finished rows in the same branch: a union per level would double the plan each time
+        met = now.withColumn("__key", F.when(key != "", key)).join(side, "__key", "left")
         place = F.concat(F.lit("{FOLLOWUP:"), F.col("__key"), F.lit("}"))
         at = F.instr(F.col("template"), F.lit("{FOLLOWUP:"))
-        grown = grown.withColumns(
+        grown = F.concat(F.substring("template", F.lit(1), at - 1), F.col("__template"), F.substring("template", at + F.length(place), F.length("template")))
+        hit = F.col("__route").isNotNull()
+        now = met.withColumns(
             {
-                "template": F.concat(F.substring("template", F.lit(1), at - 1), F.col("__template"), F.substring("template", at + F.length(place), F.length("template"))),
-                "goals": F.concat("goals", "__goals"),
-                "route": F.concat("route", F.array("__route")),
+                "template": F.when(hit, grown).otherwise(F.col("template")),
+                "goals": F.when(hit, F.concat("goals", "__goals")).otherwise(F.col("goals")),
+                "route": F.when(hit, F.concat("route", F.array("__route"))).otherwise(F.col("route")),
             }
         ).drop("__key", "__route", "__template", "__goals")
-        now = done.unionByName(grown)
     return now
 
 
@@ -90,7 +91,7 @@ def fill_first(templates: DataFrame, vocabulary: DataFrame, slots: list[str]) ->
     out = templates
     for s in slots:
         if s in values:
-            fill = lambda c, s=s: F.replace(c, F.lit("{" + s + "}"), F.lit(values[s]))
+            fill = lambda c: F.replace(c, F.lit("{" + s + "}"), F.lit(values[s]))  # noqa: E731, B023
             out = out.withColumns({"template": fill(F.col("template")), "goals": F.transform("goals", fill), "context": F.map_concat("context", F.create_map(F.lit(s), F.lit(values[s])))})
     return out
 
@@ -101,30 +102,32 @@ def fill_all(templates: DataFrame, vocabulary: DataFrame, slots: list[str]) -> D
     A slot ``x2`` takes the values of ``x`` that are not yet part of the text; a union slot
     ``a_b`` takes those of ``a`` and of ``b`` and records which.  Rows without the slot pass by.
     """
-    vocab = _small(vocabulary.select("slot", F.col("value").alias("__value")))
     out = templates
+    listed = vocabulary.groupBy("slot").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("v"))  # the values of a slot of the grammar
+    listed = _small(listed.select("slot", F.transform("v", lambda x: x["value"]).alias("v")))
     for s in slots:
         place = "{" + s + "}"
         base = re.sub(r"2(?=_|$)", "", s)
-        sources = [b for b in ([base] if "_" not in base else [base, *base.split("_")])]
-        has = F.contains(F.col("template"), F.lit(place)) | F.exists("goals", lambda g: F.contains(g, F.lit(place)))
-        values = vocab.where(F.col("slot").isin(*sources))
-        filled = out.where(has).withColumn("__s", F.explode(F.array(*[F.lit(x) for x in sources]))).join(values.withColumnRenamed("slot", "__s"), "__s")
+        sources = [base] if "_" not in base else [base, *base.split("_")]
+        has = F.contains(F.col("template"), F.lit(place)) | F.exists("goals", lambda g: F.contains(g, F.lit(place)))  # noqa: B023
+        mine = listed.where(F.col("slot").isin(*sources)).groupBy().agg(F.flatten(F.collect_list(F.transform("v", lambda x: F.struct(F.col("slot").alias("s"), x.alias("v"))))).alias("__options"))
+        options = mine.first()["__options"]  # read once: a grammar's values of one slot
+        choice = F.array(*[F.struct(F.lit(o["s"]).alias("s"), F.lit(o["v"]).alias("v")) for o in options[:MAX_GRAMMAR_ROWS]]) if options else F.array().cast("array<struct<s:string,v:string>>")
         if base != s:
-            filled = filled.where(~F.contains(F.col("template"), F.col("__value")))
-        fill = lambda c, p=place: F.replace(c, F.lit(p), F.col("__value"))
-        context = F.create_map(F.lit(s), F.col("__value"))
-        if "_" in base:
-            context = F.map_concat(context, F.create_map(F.lit(f"{s}:source"), F.col("__s")))
-        filled = filled.withColumns({"template": fill(F.col("template")), "goals": F.transform("goals", fill), "context": F.map_concat("context", context)}).drop("__s", "__value")
-        out = out.where(~has).unionByName(filled)
+            choice = F.filter(choice, lambda o: ~F.contains(F.col("template"), o["v"]))
+        none = F.array(F.lit(None).cast("struct<s:string,v:string>"))
+        rows = out.withColumn("__o", F.explode(F.when(has, choice).otherwise(none)))
+        fill = lambda c: F.when(F.col("__o").isNull(), c).otherwise(F.replace(c, F.lit(place), F.col("__o.v")))  # noqa: E731, B023
+        pairs = [F.lit(s), F.col("__o.v")] + ([F.lit(f"{s}:source"), F.col("__o.s")] if "_" in base else [])
+        context = F.when(F.col("__o").isNull(), F.col("context")).otherwise(F.map_concat("context", F.create_map(*pairs)))
+        out = rows.withColumns({"template": fill(F.col("template")), "goals": F.transform("goals", fill), "context": context}).drop("__o")
     return out
 
 
 def distinct_slots(filled: DataFrame, distinct: DataFrame) -> DataFrame:
     """Drop rows in which slots that must differ hold the same text; groups with a missing slot are no matter."""
     rules = distinct.groupBy("family").agg(F.collect_list("slots").alias("__groups"))  # a few groups per family
-    ok = lambda g: F.exists(g, lambda s: ~F.map_contains_key("context", s)) | (
+    ok = lambda g: F.exists(g, lambda s: ~F.array_contains(F.map_keys("context"), s)) | (
         F.size(F.array_distinct(F.transform(g, lambda s: casefold(F.try_element_at(F.col("context"), s))))) == F.size(g)
     )
     return filled.join(_small(rules), "family", "left").where(F.col("__groups").isNull() | F.forall("__groups", ok)).drop("__groups")
@@ -183,7 +186,7 @@ def generate(surfaces: DataFrame, followups: DataFrame, plans: DataFrame, vocabu
     rows = enumerate_variants(surfaces, followups, plans, vocabulary, distinct, every_value=True)
     valid = enrich(rows.where(~F.col("input").rlike(PLACE)))
     valid = valid.withColumn("signature", F.array_join("goal_signature", " -> "))
-    unique = B.dedup_first(valid.withColumn("__id", hash_rank(seed, F.concat_ws("|", "input", "surface_template_id", F.array_join("goals", "|")))), "__id")
+    unique = cut(B.dedup_first(valid.withColumn("__id", hash_rank(seed, F.concat_ws("|", "input", "surface_template_id", F.array_join("goals", "|")))), "__id"))  # counted, then filled from
     capacity = unique.groupBy("category", "family", "signature").agg(F.count("*").alias("capacity"))
     quotas = B.hierarchical_quota(capacity, n_samples, person_ratio).join(capacity, ["category", "family", "signature"])
     final = B.water_fill(quotas)

@@ -55,6 +55,8 @@ def spread(df: DataFrame) -> DataFrame:
     Only the physical layout changes: a scan that already has enough splits is
     returned as it is, without a shuffle.
     """
+    if df.isStreaming:
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism
     have = df.rdd.getNumPartitions()
     return df if have >= want else df.repartition(want)

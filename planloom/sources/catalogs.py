@@ -17,7 +17,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 def _cells(line: Column) -> Column:
     """Trimmed cells of a table row."""
     inner = F.regexp_replace(F.regexp_replace(line, r"^\s*\|", ""), r"\|\s*$", "")
-    return F.transform(F.split(inner, r"\|"), F.trim)
+    return F.transform(F.split(inner, r"\|"), lambda c: F.trim(c))
 
 
 def _table(spark: SparkSession, path: str) -> DataFrame:
