@@ -158,5 +158,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_TRIM = lambda x: f"lower(trim({x}, ' ' || chr(9) || chr(10) || chr(13)))"
+
+P3_SQL = f"""WITH n AS (SELECT count(*) // 5 AS n FROM dataset_gpsr),
+have AS (SELECT 'family' AS grain, {_TRIM("family")} AS key, count(*) AS c FROM dataset_gpsr GROUP BY 2
+UNION ALL SELECT 'surface_template_id', {_TRIM("surface_template_id")}, count(*) FROM dataset_gpsr GROUP BY 2),
+t AS (SELECT s.grain, s.label, CAST(coalesce(c, 0) AS BIGINT) AS available, CAST(greatest(min_rows, (target_permille * n + 999) // 1000) AS BIGINT) AS wanted
+FROM sample_targets s CROSS JOIN n LEFT JOIN have h ON h.grain = s.grain AND h.key = {_TRIM("s.label")})
+SELECT grain, label, available, wanted, greatest(wanted - available, 0) AS gap FROM t"""
+
+P4_SQL = """WITH e AS (SELECT 'goals' AS field_name, row_id::VARCHAR AS r, unnest(goals) AS term FROM dataset_gpsr
+UNION ALL SELECT 'family', id, meta.family FROM model_evaluation_cases),
+n AS (SELECT 'goals' AS field_name, count(goals) AS n FROM dataset_gpsr UNION ALL SELECT 'family', count(meta.family) FROM model_evaluation_cases),
+c AS (SELECT field_name, term, count(*) AS n_occurrences, count(DISTINCT r) AS n_records FROM e WHERE term IS NOT NULL GROUP BY ALL)
+SELECT field_name, term, n_occurrences, n_records, CASE WHEN n_records * 20 > n THEN 'common' WHEN n_records < 3 THEN 'rare' END AS mark FROM c JOIN n USING (field_name)"""
+
+P5_SQL = f"""WITH RECURSIVE pairs AS (SELECT DISTINCT {_TRIM("family")} AS f, {_TRIM("surface_template_id")} AS t FROM dataset_gpsr),
+good AS (SELECT f, t FROM pairs WHERE f <> '' AND regexp_full_match(t, '\\p{{L}}+:v[0-9]+')),
+edge AS (SELECT DISTINCT a.f AS a, b.f AS b FROM good a JOIN good b USING (t)),
+reach(a, b) AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)
+SELECT a AS family_a, b AS family_b FROM reach WHERE a < b"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_gaps": P3_SQL,
+        "p3_found": f"SELECT grain, label FROM ({P3_SQL}) WHERE gap > 0",
+        "p4_terms": P4_SQL,
+        "p4_found": f"SELECT field_name, term, mark FROM ({P4_SQL}) WHERE mark IS NOT NULL",
+        "p5_found": P5_SQL,
+    }
