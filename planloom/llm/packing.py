@@ -116,7 +116,7 @@ def pack(
 
     ranked = salted_rank(sized.where("rest > 0"), ["rest"], id_col, "rank", salts)
     plan = df.sparkSession.createDataFrame(
-        pd.DataFrame(runs, columns=["run", "container", "containers", "size", "per_container", "rank", "load"]).astype("int64")
+        pd.DataFrame(runs, columns=["run", "container", "containers", "size", "per_container", "rank", "load"]).astype("int64"), ", ".join(f"`{c}` long" for c in ("run", "container", "containers", "size", "per_container", "rank", "load"))
     )
     by_size = plan.groupBy(F.col("size").cast("int").alias("rest")).agg(
         F.sort_array(F.collect_list(F.struct("rank", "container", "per_container"))).alias("runs")
