@@ -635,3 +635,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir)
     slots = S.slot_scores(rows, by=["family"]).select("family", F.col("f1").alias("slot_f1"))
     return S.exact_by_family(rows).join(slots, "family")
+
+
+from planloom.plans import grammar_queries  # noqa: E402, F401  registers its queries
