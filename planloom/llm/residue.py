@@ -181,19 +181,19 @@ def any_of(c: Column, cues: list[str]) -> Column:
 
 def masked(c: Column) -> Column:
     """Lower case, white space collapsed, addresses, dates and numbers masked; one digit stays '0', more become '00'."""
-    c = F.lower(c)
-    c = F.regexp_replace(c, r"(?:https?|ftp)://\S+|\bwww\.\S+|[\w.+-]+@[\w-]+\.[a-z]{2,}", "address")
-    c = F.regexp_replace(c, r"\b\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?\b", "address")
-    c = F.regexp_replace(c, r"\b\d{4}-\d{2}-\d{2}(?:[t ]\d{2}:\d{2}(?::\d{2})?)?\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b", "date")
-    c = F.regexp_replace(c, r"\d{2,}", "00")
-    c = F.regexp_replace(c, r"\d+", "0")
-    c = F.regexp_replace(c, r"(?<=^|[^0])[1-9](?=$|[^0])", "0")
-    return F.trim(F.regexp_replace(c, r"[\s ​　﻿]+", " "))
+    low = F.lower(c)
+    m = F.regexp_replace(low, r"(?:https?|ftp)://\S+|\bwww\.\S+|[\w.+-]+@[\w-]+\.[a-z]{2,}", "address")
+    m = F.regexp_replace(m, r"\b\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?\b", "address")
+    m = F.regexp_replace(m, r"\b\d{4}-\d{2}-\d{2}(?:[t ]\d{2}:\d{2}(?::\d{2})?)?\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b", "date")
+    m = F.regexp_replace(F.regexp_replace(m, r"\d{2,}", "00"), r"[1-9]", "0")
+    # most texts hold neither a digit nor an address
+    m = F.when(low.rlike(r"[0-9@]|://|www\."), m).otherwise(low)
+    return F.trim(F.regexp_replace(m, r"[\s ​　﻿]+", " "))
 
 
 def units(df: DataFrame, id_col: str, input_col: str, goals_col: str, source_col: str) -> DataFrame:
     """``id, source, field, unit``: the masked input and the masked arguments of each goal."""
-    inner = lambda g: F.when(g.rlike(r"(?s)^\s*\w+\s*\(.*\)\s*$"), F.regexp_extract(g, r"(?s)^\s*\w+\s*\((.*)\)\s*$", 1)).otherwise(g)
+    inner = lambda g: F.regexp_replace(g, r"(?s)^\s*\w+\s*\((.*)\)\s*$", "$1")
     of_goals = F.transform(F.filter(F.coalesce(F.col(goals_col), F.array().cast("array<string>")), lambda g: g.isNotNull()), lambda g: F.struct(F.lit("goals").alias("field"), masked(inner(g)).alias("unit")))
     of_input = F.array(F.struct(F.lit("input").alias("field"), masked(F.coalesce(F.col(input_col), F.lit(""))).alias("unit")))
     exploded = df.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.explode(F.concat(of_input, of_goals)).alias("u"))
