@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planloom.functions.columns import text_key
+from planloom.skew import BROADCAST_ROWS, salt_of
 
 
 def hash_rank(seed: int | str, key: Column) -> Column:
@@ -58,6 +59,7 @@ def hierarchical_quota(strata: DataFrame, n_samples: int, person_ratio: float) -
     return even_quota(every, ["signature"], F.col("family_quota"), ["category", "family"])
 
 
+FILL_SALTS = 16
 MAX_STRATA = 100_000  # strata of a balanced build; their quotas are solved on the driver
 
 
@@ -110,10 +112,15 @@ def water_fill(strata: DataFrame) -> DataFrame:
 
 def fill_strata(candidates: DataFrame, quotas: DataFrame, strata: list[str], key: Column, seed: int | str, quota: str = "final_quota") -> DataFrame:
     """The first ``quota`` candidates of each stratum in seeded hash order."""
+    side = quotas.select(*strata, quota)
+    if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        side = F.broadcast(side)
+    ranked = candidates.withColumn("__h", hash_rank(seed, key)).join(side, strata).withColumn("__salt", salt_of("__h", salts=FILL_SALTS))
+    # a stratum is ranked by many tasks first; at most FILL_SALTS times its quota meets in one
+    local = F.row_number().over(Window.partitionBy(*strata, "__salt").orderBy("__h", key))
+    some = ranked.withColumn("__local", local).where(F.col("__local") <= F.col(quota)).drop("__local", "__salt")
     rank = F.row_number().over(Window.partitionBy(*strata).orderBy("__h", key))
-    ranked = candidates.withColumn("__h", hash_rank(seed, key)).join(F.broadcast(quotas.select(*strata, quota)), strata)
-    # a group limit below the rank lets each task drop what cannot be chosen before the shuffle
-    return ranked.withColumn("rank", rank).where(F.col("rank") <= F.col(quota)).drop("__h", quota)
+    return some.withColumn("rank", rank).where(F.col("rank") <= F.col(quota)).drop("__h", quota)
 
 
 def require_size(df: DataFrame, n: int) -> DataFrame:
