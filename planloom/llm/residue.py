@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planloom.operators.plans import once
 from planloom.session import cut
 from planloom.skew import lookup_join
 
@@ -223,7 +224,7 @@ def messages(df: DataFrame, id_col: str, input_col: str, goals_col: str, source_
     """``h, field, unit, n_rows, n_sources, kind`` of every distinct message."""
     per_source = units(df, id_col, input_col, goals_col, source_col).groupBy("h", "field", "unit", "__source").agg(F.count("*").alias("n"))
     whole = per_source.groupBy("h", "field", "unit").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_sources"))
-    return whole.withColumn("kind", classify(F.col("field"), F.col("unit"), F.col("n_rows"), F.col("n_sources")))
+    return once(whole, kind=classify(F.col("field"), F.col("unit"), F.col("n_rows"), F.col("n_sources")))
 
 
 def residue(df: DataFrame, id_col: str, input_col: str, goals_col: str, source_col: str) -> DataFrame:
