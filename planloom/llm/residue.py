@@ -201,11 +201,14 @@ def units(df: DataFrame, id_col: str, input_col: str, goals_col: str, source_col
     return exploded.select("__id", "__source", "u.field", "u.unit").where("unit != ''").withColumn("h", F.xxhash64("field", "unit"))
 
 
-def classify(field: Column, unit: Column, n_rows: Column, n_sources: Column) -> Column:
+def with_phrases(df: DataFrame) -> DataFrame:
+    """Add ``phrase`` ('_' and '-' inside words as blanks) and ``untitled`` (quoted titles inside a sentence left out) of ``unit``, each computed once."""
+    df = once(df, phrase=F.trim(F.regexp_replace(F.regexp_replace("unit", r"(?<=\w)[_-](?=\w)", " "), " +", " ")))
+    return once(df, untitled=F.regexp_replace("phrase", r"(?<=\w\s)[\"“«][^\"“”«»]*[\"”»](?=\s\w)", "title"))
+
+
+def classify(field: Column, unit: Column, phrase: Column, untitled: Column, n_rows: Column, n_sources: Column) -> Column:
     """The kind of residue a message holds, or null."""
-    # phrases are looked for with '_' and '-' as blanks, and outside of quoted titles
-    phrase = F.trim(F.regexp_replace(F.regexp_replace(unit, r"(?<=\w)[_-](?=\w)", " "), " +", " "))
-    untitled = F.regexp_replace(phrase, r"(?<=\w\s)[\"“«][^\"“”«»]*[\"”»](?=\s\w)", "title")
     wide = (n_rows >= WIDE_ROWS) & (n_sources >= WIDE_SOURCES)
     symbols = unit.rlike(r"[<>\[\](){}%$#@&_?…]|\.{5}|x{3}")
     missing = any_of(unit, ["null", "none", "nan", "nil", "undefined", "n/a", "unset"])
@@ -224,7 +227,8 @@ def messages(df: DataFrame, id_col: str, input_col: str, goals_col: str, source_
     """``h, field, unit, n_rows, n_sources, kind`` of every distinct message."""
     per_source = units(df, id_col, input_col, goals_col, source_col).groupBy("h", "field", "unit", "__source").agg(F.count("*").alias("n"))
     whole = per_source.groupBy("h", "field", "unit").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_sources"))
-    return once(whole, kind=classify(F.col("field"), F.col("unit"), F.col("n_rows"), F.col("n_sources")))
+    judged = classify(*map(F.col, ("field", "unit", "phrase", "untitled", "n_rows", "n_sources")))
+    return once(with_phrases(whole), kind=judged).drop("phrase", "untitled")
 
 
 def residue(df: DataFrame, id_col: str, input_col: str, goals_col: str, source_col: str) -> DataFrame:
