@@ -96,6 +96,35 @@ def test_intended_characters(model):
         assert judge.repair(text) == (text, [])
 
 
+def test_partly_garbled():
+    """A garbled stretch beside a right accented letter, in pages that can encode the whole token."""
+
+    def right(token):
+        return {text for text, _, _ in mojibake.candidates(token)}
+
+    assert "papier-mâché" in right("papier-mÃ¢ché") and "brûlée" in right("brûlÃ©e")
+    assert "INSTRUÇÕES:" in right("INSTRUÇÃ•ES:") and "¿Dónde" in right("Â¿Dónde")
+    assert "déjà" in right("déjÃ")  # the last byte of the stretch is lost
+    for page in mojibake.AS_UTF8:
+        if table := mojibake._table(page):
+            of = {b: c for c, b in reversed(table.items())}
+            beside = of[0xFF] if of[0xFF].isalpha() else of[0xE9]  # a letter of the page itself
+            assert f"{beside}ße" in right(beside + "".join(of[b] for b in "ß".encode()) + "e"), page
+
+
+def test_left_is_not_repaired(model):
+    judge = mojibake.Judge(model)
+    assert judge.is_left("La réponse nÂº", ["cp1252>utf-8"]) and judge.is_left("brûlÃ©e", ["cp1252>utf-8"])
+    assert not judge.is_left("La réponse nº", ["cp1252>utf-8"]) and not judge.is_left("nÂº", ["lost"])
+
+
+def test_refilled_texts_of_one_chain():
+    """The text that was chosen is taken, not the first one of the same chain."""
+    text = "La batería de la galería tenía vacíos, y la batería está à la carte."
+    judge = mojibake.Judge(mojibake.train([("es", f"{text} {i}") for i in range(40)]))
+    assert judge.decide("La", "baterÃa", "de la") == ("batería", "cp1252>utf-8,refilled")
+
+
 def test_lost(model):
     judge = mojibake.Judge(model)
     assert judge.repair("le d�ner")[1] == ["lost"]
