@@ -125,6 +125,30 @@ def test_refilled_texts_of_one_chain():
     assert judge.decide("La", "baterÃa", "de la") == ("batería", "cp1252>utf-8,refilled")
 
 
+def test_known_words_are_clean(model):
+    """A garbled text of many copies makes no word known, and its copies are all found."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(v) for _ in range(6))) for k, v in SENTENCES.items() for _ in range(40)]
+    bad = "La rÃ©ponse arrive aprÃ¨s le dÃ®ner Ã\xa0 l’entrÃ©e."
+    copies = mojibake.train(rows + [("fr", bad)] * 50)
+    assert copies == mojibake.train([*rows, ("fr", bad)]), "copies count once"
+    texts = mojibake.train(rows + [("fr", f"{bad} {' '.join('ab'[i >> k & 1] for k in range(6))}") for i in range(50)])
+    for m in (copies, texts):
+        assert not {"rÃ©ponse", "aprÃ¨s", "dÃ®ner"} & set(m["known"])
+        assert mojibake.Judge(m).repair(bad)[0].startswith("La réponse arrive après le dîner")
+
+
+def test_sample_of_copies(spark):
+    rows = [("Où est la clé ?", "fr")] * 2000 + [("Où est la clé ?", None)] * 3 + [(f"La crèche {chr(97 + i % 26)}{chr(97 + i // 26)} est fermée", "fr") for i in range(300)]
+    seen = []
+    train, mojibake.train = mojibake.train, lambda sample: seen.extend(sample) or train(sample)
+    try:
+        mojibake.sample_model(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    finally:
+        mojibake.train = train
+    assert sorted(seen) == sorted(set((lang or "fr", text) for text, lang in rows)), "each text once, whatever the number of its copies"
+
+
 def test_lost(model):
     judge = mojibake.Judge(model)
     assert judge.repair("le d�ner")[1] == ["lost"]
