@@ -1,15 +1,15 @@
 """Fixed-capacity packing of whole texts (problem 7).
 
-Hierarchical multi-length packing over a *histogram* of item sizes.  The corpus is
+Largest-first packing over a *histogram* of item sizes.  The corpus is
 only ever seen as "how many items have size s", at most ``capacity`` numbers, so
 planning costs the same for a thousand documents and for a trillion, and nothing
 that grows with the corpus reaches the driver:
 
-1. sizes are routed to context tiers (``capacity``, /2, /4, /8 ...);
-2. each tier is packed from its longest item on, every container filling its gap
-   from the same or a shorter tier with the largest sizes that still fit, as many
-   equal containers at a time as the histogram allows;
-3. containers are dealt to step groups in the order of their load, back and
+1. every container starts with the longest item left and fills its gap with the
+   largest sizes that still fit, as many equal containers at a time as the histogram
+   allows; the tiers (``capacity``, /2, /4, /8 ...) only part this one pass and do
+   not change the plan;
+2. containers are dealt to step groups in the order of their load, back and
    forth, so that every group carries about the same number of tokens.
 
 The plan is a table of runs "containers a..b take the items of size s ranked x..y".
