@@ -216,7 +216,7 @@ def classify(field: Column, unit: Column, phrase: Column, untitled: Column, n_ro
         F.when(any_of(phrase, SCRIPT_CUES) & (untitled.rlike(SCRIPT_NOTICE) | unit.rlike(SCRIPT_NOTICE) & ~phrase.rlike(r"[\"“«]")), "script_notice")
         .when(any_of(unit, ERROR_CUES) & (untitled.rlike(ERROR_PAGE) | unit.rlike(r"\berr_[a-z_]+|</?(?:html|body)\b")), "error_page")
         .when(any_of(phrase, FILLER_CUES) & phrase.rlike(FILLER), "filler")
-        .when((symbols | F.contains(unit, F.lit("insert"))) & unit.rlike(PLACEHOLDER), "placeholder")
+        .when((symbols | any_of(unit, ["insert", " here", "-here"])) & unit.rlike(PLACEHOLDER), "placeholder")
         .when((field == "goals") & unit.rlike(MISSING_GOAL), "missing_value")
         .when((field == "input") & missing & unit.rlike(MISSING_INPUT), "missing_value")
         .when(wide & (field == "input") & untitled.rlike(WEAK) & ~untitled.rlike(COMMAND_LEAD), "recurring_message")

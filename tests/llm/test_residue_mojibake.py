@@ -30,6 +30,11 @@ def test_inputs(spark):
     assert set(found(spark, rows)) == set(range(len(RESIDUE)))
 
 
+def test_slots_without_symbols(spark):
+    texts = ["go to your room here", "bring YOUR-OBJECT-HERE to Anna", "bring your cup here", "wait here for Anna"]
+    assert set(found(spark, [(i, t, ["go(hall)"], "s", "h", "k") for i, t in enumerate(texts)])) == {0, 1}
+
+
 def test_goals(spark):
     bad = [["go({0})"], ["go(hall)", "find(null)"], ["talk('lorem ipsum')"], ["503 service unavailable"], ["go(____)"], ["find([insert name here], kind=person)"]]
     good = [["go(hall)", "find(person, gesture='waving person')"], None, [], [None, "answer_question()"], ["talk('the server forgot the soup')"], ["tell(object, property=softest)"]]
