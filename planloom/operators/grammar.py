@@ -33,6 +33,13 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
+def _bounded(rows: list) -> list:
+    """``rows`` of a grammar that were read with one more than may be."""
+    if len(rows) > MAX_GRAMMAR_ROWS:
+        raise ValueError(f"more than {MAX_GRAMMAR_ROWS} rows of a grammar table")
+    return rows
+
+
 def places(template: Column) -> Column:
     return F.regexp_extract_all(template, F.lit(PLACE), F.lit(1))
 
@@ -87,7 +94,7 @@ def fix_article(text: Column) -> Column:
 def fill_first(templates: DataFrame, vocabulary: DataFrame, slots: list[str]) -> DataFrame:
     """Fill each slot with its first value: the deterministic enumeration."""
     first = vocabulary.groupBy("slot").agg(F.min_by("value", "pos").alias("value"))
-    values = {r["slot"]: r["value"] for r in first.limit(MAX_GRAMMAR_ROWS).collect()}
+    values = {r["slot"]: r["value"] for r in _bounded(first.limit(MAX_GRAMMAR_ROWS + 1).collect())}
     out = templates
     for s in slots:
         if s in values:
@@ -112,7 +119,7 @@ def fill_all(templates: DataFrame, vocabulary: DataFrame, slots: list[str]) -> D
         has = F.contains(F.col("template"), F.lit(place)) | F.exists("goals", lambda g: F.contains(g, F.lit(place)))  # noqa: B023
         mine = listed.where(F.col("slot").isin(*sources)).groupBy().agg(F.flatten(F.collect_list(F.transform("v", lambda x: F.struct(F.col("slot").alias("s"), x.alias("v"))))).alias("__options"))
         options = mine.first()["__options"]  # read once: a grammar's values of one slot
-        choice = F.array(*[F.struct(F.lit(o["s"]).alias("s"), F.lit(o["v"]).alias("v")) for o in options[:MAX_GRAMMAR_ROWS]]) if options else F.array().cast("array<struct<s:string,v:string>>")
+        choice = F.array(*[F.struct(F.lit(o["s"]).alias("s"), F.lit(o["v"]).alias("v")) for o in _bounded(options)]) if options else F.array().cast("array<struct<s:string,v:string>>")
         if base != s:
             choice = F.filter(choice, lambda o: ~F.contains(F.col("template"), o["v"]))
         none = F.array(F.lit(None).cast("struct<s:string,v:string>"))
@@ -146,8 +153,8 @@ def _start(surfaces: DataFrame, plans: DataFrame) -> DataFrame:
 
 def grammar_slots(surfaces: DataFrame, followups: DataFrame) -> list[str]:
     """All slots of a grammar in the order they first appear."""
-    texts = [r["template"] for r in surfaces.orderBy("family", "version").select("template").limit(MAX_GRAMMAR_ROWS).collect()]
-    texts += [r["template"] for r in followups.orderBy("key", "route").select("template").limit(MAX_GRAMMAR_ROWS).collect()]
+    texts = [r["template"] for r in _bounded(surfaces.orderBy("family", "version").select("template").limit(MAX_GRAMMAR_ROWS + 1).collect())]
+    texts += [r["template"] for r in _bounded(followups.orderBy("key", "route").select("template").limit(MAX_GRAMMAR_ROWS + 1).collect())]
     found = dict.fromkeys(s for t in texts for s in re.findall(PLACE, t) if not s.startswith("FOLLOWUP:") and s != "art")
     return list(found)
 

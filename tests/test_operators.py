@@ -201,6 +201,17 @@ def grammar(spark):
     return surfaces, followups, plans, vocabulary, distinct
 
 
+def test_grammar_bound(spark, monkeypatch):
+    monkeypatch.setattr(GR, "MAX_GRAMMAR_ROWS", 2)
+    words = spark.createDataFrame([("room", i, f"room {i}") for i in range(3)] + [(s, 0, s) for s in ("cup", "name")], "slot string, pos int, value string")
+    texts = spark.createDataFrame([("f", i, f"go to the {{room}} {i}") for i in range(3)], "family string, version int, template string")
+    follow = spark.createDataFrame([], "key string, route string, template string")
+    start = texts.selectExpr("template", "array('go({room})') as goals", "cast(map() as map<string,string>) as context")
+    for run in (lambda: GR.grammar_slots(texts, follow), lambda: GR.fill_all(start, words, ["room"]), lambda: GR.fill_first(start, words, ["room"])):
+        with pytest.raises(ValueError, match="more than 2"):
+            run()
+
+
 def test_enumerate(spark, grammar):
     surfaces, followups, plans, vocabulary, distinct = grammar
     assert GR.template_issues(surfaces).count() == 0
