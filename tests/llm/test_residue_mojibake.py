@@ -168,3 +168,24 @@ def test_rows(spark):
     assert set(got) == {1000} and got[1000].restored == "La réponse arrive après le dîner."
     empty = mojibake.repair_texts(df.limit(0), "doc_id", "text", "lang")
     assert empty.count() == 0
+
+
+def test_language_labels(spark):
+    rows = spark.createDataFrame([(x,) for x in ("Polish", "Portuguese", "pt-BR", " PT ", "en_GB", "", None, "  ")], "lang string")
+    got = [r[0] for r in rows.select(mojibake.fold_language(rows.lang)).collect()]
+    assert got == ["polish", "portuguese", "pt", "pt", "en", "*", "*", "*"]
+
+
+def test_more_languages_than_dictionaries(spark):
+    """Texts of languages beyond ``SAMPLE_LANGS`` are repaired as well: those share a dictionary."""
+    rows = []
+    for k in range(70):
+        large = k < 66
+        for i in range(12 if large else 8):
+            text = f"report {k} of the run number {i} in the hall" if large else f"það var góður dagur í þorpinu og allir fóru út að ganga, skýrsla {i} frá {k}"
+            rows.append((len(rows), text, f"lang{k:02d}"))
+    rows.append((1000, "það var góður dagur í þorpinu og allir fóru út að ganga, skýrsla 9".encode().decode("cp1252", "replace"), "lang69"))
+    rows.append((1001, "allir fóru út að ganga í þorpinu".encode().decode("latin-1"), "lang69"))
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    got = {r.id: r.restored for r in mojibake.repair_texts(df, "id", "text", "lang").where("garbled").collect()}
+    assert set(got) == {1000, 1001} and got[1001] == "allir fóru út að ganga í þorpinu"
