@@ -31,8 +31,7 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_messages(spark: SparkSession, d: str) -> DataFrame:
     """The residue messages with rows and sources."""
-    found = residue.messages(table(spark, d, "all_command_variants"), *P1_COLUMNS).where("kind is not null")
-    return found.select("field", "unit", "kind", "n_rows", "n_sources")
+    return residue.residue_messages(table(spark, d, "all_command_variants"), *P1_COLUMNS)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

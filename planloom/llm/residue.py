@@ -1,16 +1,18 @@
 """Template residue, filler and error-page text (problem 1).
 
-Every text unit of a record (its input, the arguments of each goal) is normalised:
-lower case, white space collapsed, addresses, dates and numbers masked.  Units with
-the same hash are one message; messages are counted over rows and sources with
-partial aggregation, so a message that a third of all records hold costs one row per
-task.  Each distinct message is classified once:
+Every text unit of a record (its input, the arguments of each goal) is normalised once:
+lower case, white space collapsed, addresses, dates and numbers masked.  One pass of a
+multi-pattern automaton per task drops the units that hold no cue of any rule; all that
+follows sees the others only.  Units with the same 128-bit hash are one message;
+messages are counted over rows and sources with partial aggregation, so a message that a
+third of all records hold costs one row per task.  Each distinct message is classified once:
 
 * placeholder rules (slot syntax of template languages, slot names in brackets,
   missing values printed in a slot's place),
 * phrase rules (filler, error pages, script and cookie notices), which hold for a
   message wholly or in part,
-* weak phrases, which count only when the message recurs across sources.
+* weak phrases, which many a command may hold as well: they count only in a message that
+  recurs widely, in ``WIDE_ROWS`` records and ``WIDE_SOURCES`` sources.
 
 The verdicts are joined back to the records on the hash.
 
@@ -21,11 +23,17 @@ judged; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import cache
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planloom.operators.plans import once
-from planloom.session import cut
+from planloom.session import cut, spread, stored
 from planloom.skew import lookup_join
 
 WIDE_ROWS, WIDE_SOURCES = 3, 2  # a weak phrase counts from so many rows and sources on
@@ -100,7 +108,7 @@ FILLER = "|".join(
         r"\basdf\b|\bqwert?y?\b|\bfoo bar\b|\bblah blah\b|\btest test\b|\babc 0+ test\b|\bhello world\b",
         r"\bdummy (?:input|text|data|value|command|content|entry)\b",
         r"\b(?:sample|example|placeholder|filler|default) (?:text|sentence|input|command|content|value|data|string)\b",
-        r"\binsert text\s*$",
+        r"\binsert text\s*$|^\W{0,2}(?:placeholder|insert text)\W{0,2}$",
         rf"{EDGE}insert (?:your )?(?:text|command|content|name|title)\b(?! (?:the|a|on|in)\b)",
         r"\b(?:text|content|command|title|name|description) (?:to be (?:supplied|added|written|filled in|defined|determined|provided)|pending|goes here|coming soon|to come|to follow)\b",
         r"\byour (?:\w+ )?(?:command|text|content|input|message|title|name) (?:goes )?here\b",
@@ -159,7 +167,7 @@ WEAK = r"\b(?:unavailable|expired|forbidden|unauthori[sz]ed|not found|timeout|ti
 COMMAND_LEAD = r"^\W*(?:\w+ ){0,4}?(?:tell|say|ask|remind|inform|show|bring|put|take|find|fetch|grab|pick|go|drive|navigate|meet|follow|escort|greet|count|deliver|place|throw|move|carry|hand|locate|search|look|collect|get|give|report|explain|answer|wait|enter|stay|welcome|salute|leave|lift|track|check|learn|fill)\b"
 
 
-# Every match of a rule holds one of these; most messages hold none and skip the rule.
+# Every match of a rule holds one of these; most units hold none and are dropped.
 SCRIPT_CUES = "script cookie browser blocker pop accept".split(" ")
 ERROR_CUES = (
     "found|reached|loaded|opened|completed|processed|displayed|established|resolved|available|timed|time-out|time out|timeout|refused|reset|denied|rejected|"
@@ -173,6 +181,32 @@ FILLER_CUES = (
 ).split("|")
 
 
+SYMBOLS = "<>[](){}%$#@&_?…"
+PLACE_CUES = ["insert", " here", "-here", ".....", "xxx", *SYMBOLS]
+MISSING = ["null", "none", "nan", "nil", "undefined", "n/a", "unset"]
+GOAL_CUES = [*MISSING, "xx", "..", "--", "tbd", "tba", "todo"]
+WEAK_CUES = "unavailable expired forbidden unauthori timeout invalid failed failure supported refused denied template boilerplate untitled loading".split() + ["not found", "timed out", "maintenance", "no data", "no content"]
+NOT_APPLICABLE = re.compile(r"(?:^|[,=(])\s*['\"]?\s*na\s*['\"]?\s*(?:$|[,)])")
+
+
+@cache
+def automaton(field: str) -> ahocorasick.Automaton:
+    """All cues of the rules of a field."""
+    found = ahocorasick.Automaton()
+    for cue in {*SCRIPT_CUES, *ERROR_CUES, *FILLER_CUES, *PLACE_CUES, *MISSING, *WEAK_CUES, *(GOAL_CUES if field == "goals" else [])}:
+        found.add_word(cue, 1)
+    found.make_automaton()
+    return found
+
+
+def has_cue(field: str, unit: str) -> bool:
+    """Whether a normalised unit holds a cue, as it stands or with ``_`` and ``-`` as blanks."""
+    cues = automaton(field)
+    if next(cues.iter(unit), None) is not None or field == "goals" and "na" in unit and NOT_APPLICABLE.search(unit) is not None:
+        return True
+    return "-" in unit and next(cues.iter(unit.replace("-", " ")), None) is not None
+
+
 def any_of(c: Column, cues: list[str]) -> Column:
     found = F.contains(c, F.lit(cues[0]))
     for cue in cues[1:]:
@@ -193,12 +227,29 @@ def masked(c: Column) -> Column:
 
 
 def units(df: DataFrame, id_col: str, input_col: str, goals_col: str, source_col: str) -> DataFrame:
-    """``id, source, field, unit``: the masked input and the masked arguments of each goal."""
+    """``id, source, field, unit, h`` of the masked inputs and the masked arguments of each goal that hold a cue."""
     inner = lambda g: F.regexp_replace(g, r"(?s)^\s*\w+\s*\((.*)\)\s*$", "$1")
-    of_goals = F.transform(F.filter(F.coalesce(F.col(goals_col), F.array().cast("array<string>")), lambda g: g.isNotNull()), lambda g: F.struct(F.lit("goals").alias("field"), masked(inner(g)).alias("unit")))
-    of_input = F.array(F.struct(F.lit("input").alias("field"), masked(F.coalesce(F.col(input_col), F.lit(""))).alias("unit")))
-    exploded = df.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.explode(F.concat(of_input, of_goals)).alias("u"))
-    return exploded.select("__id", "__source", "u.field", "u.unit").where("unit != ''").withColumn("h", F.xxhash64("field", "unit"))
+    of_goals = F.transform(F.filter(F.coalesce(F.col(goals_col), F.array().cast("array<string>")), lambda g: g.isNotNull()), lambda g: F.struct(F.lit("goals").alias("field"), inner(g).alias("unit")))
+    of_input = F.array(F.struct(F.lit("input").alias("field"), F.coalesce(F.col(input_col), F.lit("")).alias("unit")))
+    exploded = spread(df).select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.explode(F.concat(of_input, of_goals)).alias("u"))
+    rows = exploded.select("__id", "__source", "u.field", masked(F.col("u.unit")).alias("unit"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # units repeat, goals above all: each distinct one of a batch is looked at once
+            fields, texts = batch.column(2).dictionary_encode(), batch.column(3).dictionary_encode()
+            names, words = fields.dictionary.to_pylist(), texts.dictionary.to_pylist()
+            seen: dict[tuple[int, int], bool] = {}
+            keep = []
+            for i, pair in enumerate(zip(fields.indices.to_pylist(), texts.indices.to_pylist(), strict=True)):
+                if pair not in seen:
+                    seen[pair] = has_cue(names[pair[0]], words[pair[1]])
+                if seen[pair]:
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    held = rows.mapInArrow(run, rows.schema)
+    return held.withColumn("h", F.md5(F.concat_ws("\n", "field", "unit")))
 
 
 def with_phrases(df: DataFrame) -> DataFrame:
@@ -210,32 +261,38 @@ def with_phrases(df: DataFrame) -> DataFrame:
 def classify(field: Column, unit: Column, phrase: Column, untitled: Column, n_rows: Column, n_sources: Column) -> Column:
     """The kind of residue a message holds, or null."""
     wide = (n_rows >= WIDE_ROWS) & (n_sources >= WIDE_SOURCES)
-    symbols = unit.rlike(r"[<>\[\](){}%$#@&_?…]|\.{5}|x{3}")
-    missing = any_of(unit, ["null", "none", "nan", "nil", "undefined", "n/a", "unset"])
+    missing = any_of(unit, MISSING)
     return (
         F.when(any_of(phrase, SCRIPT_CUES) & (untitled.rlike(SCRIPT_NOTICE) | unit.rlike(SCRIPT_NOTICE) & ~phrase.rlike(r"[\"“«]")), "script_notice")
         .when(any_of(unit, ERROR_CUES) & (untitled.rlike(ERROR_PAGE) | unit.rlike(r"\berr_[a-z_]+|</?(?:html|body)\b")), "error_page")
         .when(any_of(phrase, FILLER_CUES) & phrase.rlike(FILLER), "filler")
-        .when((symbols | any_of(unit, ["insert", " here", "-here"])) & unit.rlike(PLACEHOLDER), "placeholder")
+        .when(any_of(unit, PLACE_CUES) & unit.rlike(PLACEHOLDER), "placeholder")
         .when((field == "goals") & unit.rlike(MISSING_GOAL), "missing_value")
         .when((field == "input") & missing & unit.rlike(MISSING_INPUT), "missing_value")
         .when(wide & (field == "input") & untitled.rlike(WEAK) & ~untitled.rlike(COMMAND_LEAD), "recurring_message")
     )
 
 
-def messages(df: DataFrame, id_col: str, input_col: str, goals_col: str, source_col: str) -> DataFrame:
-    """``h, field, unit, n_rows, n_sources, kind`` of every distinct message."""
-    per_source = units(df, id_col, input_col, goals_col, source_col).groupBy("h", "field", "unit", "__source").agg(F.count("*").alias("n"))
-    whole = per_source.groupBy("h", "field", "unit").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_sources"))
+def messages(held: DataFrame) -> DataFrame:
+    """``h, field, unit, n_rows, n_sources, kind`` of every distinct message among the :func:`units`."""
+    per_source = held.groupBy("h", "__source").agg(F.count("*").alias("n"), F.min(F.struct("field", "unit")).alias("u"))
+    whole = per_source.groupBy("h").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_sources"), F.min("u").alias("u")).select("h", "u.field", "u.unit", "n_rows", "n_sources")
     judged = classify(*map(F.col, ("field", "unit", "phrase", "untitled", "n_rows", "n_sources")))
     return once(with_phrases(whole), kind=judged).drop("phrase", "untitled")
 
 
+def residue_messages(df: DataFrame, id_col: str, input_col: str, goals_col: str, source_col: str) -> DataFrame:
+    """``field, unit, kind, n_rows, n_sources`` of the messages that are residue."""
+    found = messages(units(df, id_col, input_col, goals_col, source_col)).where("kind is not null")
+    return found.select("field", "unit", "kind", "n_rows", "n_sources")
+
+
 def residue(df: DataFrame, id_col: str, input_col: str, goals_col: str, source_col: str) -> DataFrame:
     """``id, kinds`` of every record with residue; ``kinds`` is the sorted list of what it holds, by field."""
-    bad = messages(df, id_col, input_col, goals_col, source_col).where("kind is not null")
+    held = stored(units(df, id_col, input_col, goals_col, source_col))  # the units with a cue alone
+    bad = messages(held).where("kind is not null")
     bad = cut(bad.select("h", F.concat_ws(":", "field", "kind").alias("kind")))  # classified once
-    hits = lookup_join(units(df, id_col, input_col, goals_col, source_col).select("__id", "h"), bad, "h", "__id")
+    hits = lookup_join(held.select("__id", "h"), bad, "h", "__id")
     return hits.groupBy("__id").agg(F.sort_array(F.collect_set("kind")).alias("kinds")).withColumnRenamed("__id", id_col)
 
 

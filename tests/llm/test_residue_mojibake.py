@@ -36,12 +36,27 @@ def test_slots_without_symbols(spark):
 
 
 def test_goals(spark):
-    bad = [["go({0})"], ["go(hall)", "find(null)"], ["talk('lorem ipsum')"], ["503 service unavailable"], ["go(____)"], ["find([insert name here], kind=person)"]]
+    bad = [["talk('insert text')"], ["talk('PLACEHOLDER')"], ["go(na)"], ["go({0})"], ["go(hall)", "find(null)"], ["talk('lorem ipsum')"], ["503 service unavailable"], ["go(____)"], ["find([insert name here], kind=person)"]]
     good = [["go(hall)", "find(person, gesture='waving person')"], None, [], [None, "answer_question()"], ["talk('the server forgot the soup')"], ["tell(object, property=softest)"]]
     rows = [(i, "go to the hall", g, None, None, None) for i, g in enumerate(bad + good)]
     assert set(found(spark, rows)) == set(range(len(bad)))
 
 
+def test_recurrence_decides(spark):
+    """A weak phrase is residue where its message recurs over sources, and only there; numbers and dates do not part a message."""
+    wide = [(i, f"planner template {i} unavailable", ["go(hall)"], f"s{i % 2}", "", "") for i in range(3)]
+    one_source = [(10 + i, f"voucher expired on 2024-01-0{i + 1}", ["go(hall)"], "s0", "", "") for i in range(5)]
+    few = [(20 + i, "loading", ["go(hall)"], f"s{i}", "", "") for i in range(2)]
+    commands = [(30 + i, "bring the boilerplate to the hall", ["go(hall)"], f"s{i % 2}", "", "") for i in range(4)]
+    got = found(spark, wide + one_source + few + commands)
+    assert got == {i: ["input:recurring_message"] for i in range(3)}
+
+
+def test_gate_drops_nothing(spark):
+    """Every text of the rules passes the automaton."""
+    assert [t for t in RESIDUE if not residue.has_cue("input", t.lower())] == []
+
+
 def test_recurring_and_clean(spark):
     rows = [(i, "no data", ["go(hall)"], f"s{i % 2}", "", "") for i in range(4)] + [(9, "go to the hall", None, None, "", "")]
     assert set(found(spark, rows)) == {0, 1, 2, 3}
