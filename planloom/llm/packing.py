@@ -1,21 +1,25 @@
 """Fixed-capacity packing of whole texts (problem 7).
 
-Largest-first packing over a *histogram* of item sizes.  The corpus is
-only ever seen as "how many items have size s", at most ``capacity`` numbers, so
-planning costs the same for a thousand documents and for a trillion, and nothing
-that grows with the corpus reaches the driver:
-
-1. every container starts with the longest item left and fills its gap with the
-   largest sizes that still fit, as many equal containers at a time as the histogram
-   allows; the tiers (``capacity``, /2, /4, /8 ...) only part this one pass and do
-   not change the plan;
-2. containers are dealt to step groups in the order of their load, back and
-   forth, so that every group carries about the same number of tokens.
-
-The plan is a table of runs "containers a..b take the items of size s ranked x..y".
-Items get their rank within their size from salted windows, so a size that a third
-of the corpus shares is ranked by many tasks, and each item finds its container by
-a range lookup in the runs of its size.
+Hierarchical packing over *histograms* of sizes.  The corpus is only ever seen as "how
+many items have size s", at most ``capacity`` numbers, so planning costs the same for a
+thousand documents and for a trillion, and nothing that grows with the corpus reaches
+the driver:
+
+1. *Routing*: an item belongs to the tier of the shortest context window that holds it
+   (``capacity``, /2, /4, /8; the shortest tier takes all that is shorter).
+2. *Windows*: each tier is packed by itself, longest first.  A window of the tier starts
+   with the largest of its items and its gap is filled with the largest items of shorter
+   tiers that still fit, as many equal windows at a time as the histogram allows.
+3. *Containers*: the filled windows are blocks; blocks of like load are one size of a second
+   histogram, and containers are filled with the largest blocks that fit.
+4. *Step groups*: containers are numbered by falling load and dealt back and forth, so
+   that every group has the same number of containers (but for one) and a like load.
+
+The plan is two short tables: "windows a..b take the items of size s ranked x..y" and
+"containers a..b take the blocks of load l ranked x..y".  Items get their rank within
+their size from salted windows, as many salts as the most frequent size needs, so a size
+that a third of the corpus shares is ranked by many tasks; each item finds its window and
+its container by two binary searches.
 
 Defined cases: null/empty texts have no token and take no container (``n_parts`` 0);
 an item above the capacity is cut into full containers and one remainder, nothing
@@ -26,69 +30,105 @@ separate rows; an empty table gives an empty table.
 from __future__ import annotations
 
 import bisect
+from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planloom.llm.bpe import DEFAULT_RANKS, token_counts
-from planloom.session import cut
-from planloom.skew import salt_of, salted_rank
+from planloom.session import stored
+from planloom.skew import salted_rank
 
 CAPACITY = 2048
-SALTS = 64
+SALT_ROWS = 250_000  # rows of one size that one task ranks
 GROUP_CONTAINERS = 64  # containers of one step group
 
 
 def tiers_of(capacity: int, levels: int = 4) -> list[int]:
-    """Upper bounds of the context tiers, longest first."""
+    """Window lengths of the context tiers, longest first."""
     return [capacity >> k for k in range(levels) if capacity >> k >= 1]
 
 
-def plan_packing(histogram: dict[int, int], capacity: int, tiers: list[int] | None = None) -> list[dict]:
-    """Runs ``{run, container, containers, size, per_container, rank}`` that place every item.
+def fill_windows(left: dict[int, int], length: int, shortest: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """``(windows, [(size, items of it in each window)])``: windows of ``length``, started with the largest size left above ``shortest``.
 
-    ``histogram`` maps a size (1..capacity) to its number of items.  A run is a set
-    of ``containers`` equal containers numbered from ``container``; in each, the
-    pattern holds ``per_container`` items of ``size``, ranked from ``rank`` on.
+    Gaps take the largest sizes that still fit.  ``left`` is reduced by what is placed.
+    """
+    sizes = sorted(s for s, n in left.items() if n > 0)
+    out = []
+    while True:
+        at = bisect.bisect_right(sizes, length)
+        if not at or sizes[at - 1] <= shortest:
+            return out
+        pattern: list[tuple[int, int]] = []
+        room = length
+        while at:
+            size = sizes[at - 1]
+            take = min(room // size, left[size])
+            pattern.append((size, take))
+            room -= take * size
+            at = bisect.bisect_right(sizes, min(room, size - 1))
+        times = min(left[s] // n for s, n in pattern)
+        for s, n in pattern:
+            left[s] -= n * times
+            if not left[s]:
+                del sizes[bisect.bisect_left(sizes, s)]
+        out.append((times, pattern))
+
+
+def plan_packing(histogram: dict[int, int], capacity: int, tiers: list[int] | None = None) -> tuple[list[dict], list[dict]]:
+    """``(windows, containers)``: the two tables of runs that place every item.
+
+    ``histogram`` maps a size (1..capacity) to its number of items.  A row of ``windows``
+    says that the items of ``size`` from ``rank`` on, ``each`` to a block, stand in the blocks
+    of ``load`` numbered from ``block`` on, which are windows of ``tier``.  A row of
+    ``containers`` says that the blocks of ``load`` from ``rank`` on, ``each`` to a container,
+    stand in the containers from ``container`` on; these are ``times`` in number.
     """
     left = {s: n for s, n in histogram.items() if n > 0 and 1 <= s <= capacity}
-    rank = dict.fromkeys(left, 0)
-    sizes = sorted(left)
-    bounds = sorted(tiers or tiers_of(capacity), reverse=True)
-    runs: list[dict] = []
-    container = run = 0
-
-    def largest_at_most(room: int) -> int | None:
-        at = bisect.bisect_right(sizes, room)
-        return sizes[at - 1] if at else None
-
-    for k, upper in enumerate(bounds):
-        lower = bounds[k + 1] if k + 1 < len(bounds) else 0
-        while (seed := largest_at_most(upper)) is not None and seed > lower:
-            pattern: list[tuple[int, int]] = []
-            used: dict[int, int] = {}
-            room, size = capacity, seed
-            while size is not None:
-                free = left[size] - used.get(size, 0)
-                take = min(room // size, free)
-                if take:
-                    pattern.append((size, take))
-                    used[size] = used.get(size, 0) + take
-                    room -= take * size
-                # the largest size that still fits and has items left
-                at = bisect.bisect_right(sizes, min(room, size - 1))
-                size = sizes[at - 1] if at else None
-            times = min(left[s] // n for s, n in pattern)
+    lengths = sorted(tiers or tiers_of(capacity), reverse=True)
+    ranks, blocks = Counter(), Counter()
+    windows: list[dict] = []
+    for length, shortest in zip(lengths, [*lengths[1:], 0], strict=True):
+        for times, pattern in fill_windows(left, length, shortest):
+            load = sum(s * n for s, n in pattern)
             for s, n in pattern:
-                runs.append({"run": run, "container": container, "containers": times, "size": s, "per_container": n, "rank": rank[s], "load": capacity - room})
-                rank[s] += n * times
-                left[s] -= n * times
-                if not left[s]:
-                    del sizes[bisect.bisect_left(sizes, s)]
-            container += times
-            run += 1
-    return runs
+                windows.append({"size": s, "rank": ranks[s], "each": n, "load": load, "block": blocks[load], "tier": length})
+                ranks[s] += n * times
+            blocks[load] += times
+    filled = fill_windows(dict(blocks), capacity, 0)
+    filled.sort(key=lambda f: -sum(s * n for s, n in f[1]))  # numbered by falling load
+    placed, number = Counter(), 0
+    containers: list[dict] = []
+    for times, pattern in filled:
+        load = sum(s * n for s, n in pattern)
+        for s, n in pattern:
+            containers.append({"load": s, "rank": placed[s], "each": n, "container": number, "times": times, "total": load})
+            placed[s] += n * times
+        number += times
+    return windows, containers
+
+
+def _table(rows: list[dict], key: str, at: str, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """Columns of a run table sorted by ``key`` and rank, with one search key of both."""
+    rows = sorted(rows, key=lambda r: (r[key], r[at]))
+    out = {n: np.array([r[n] for r in rows], dtype=np.int64) for n in names}
+    out["search"] = np.array([(r[key] << SEARCH_BITS) + r[at] for r in rows], dtype=np.int64)
+    return out
+
+
+SEARCH_BITS = 48  # bits of a rank in a search key; sizes take the others
+
+
+def locate(size: np.ndarray, rank: np.ndarray, windows: dict[str, np.ndarray], containers: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Tier and container of the items of ``size`` ranked ``rank``, by two binary searches."""
+    w = np.searchsorted(windows["search"], (size << SEARCH_BITS) + rank, side="right") - 1
+    block = windows["block"][w] + (rank - windows["rank"][w]) // windows["each"][w]
+    c = np.searchsorted(containers["search"], (windows["load"][w] << SEARCH_BITS) + block, side="right") - 1
+    return windows["tier"][w], containers["container"][c] + (block - containers["rank"][c]) // containers["each"][c]
 
 
 def pack(
@@ -97,66 +137,67 @@ def pack(
     text_col: str = "text",
     capacity: int = CAPACITY,
     ranks_path: str = DEFAULT_RANKS,
-    salts: int = SALTS,
+    salt_rows: int = SALT_ROWS,
+    tiers: list[int] | None = None,
 ) -> DataFrame:
-    """One row per part of a document: ``id_col, n_tokens, n_parts, part, part_tokens, container, step_group``.
+    """One row per part of a document: ``id_col, n_tokens, n_parts, part, part_tokens, tier, container, step_group``.
 
     A text that fits has one part; a larger one has its full containers (parts
     0..k-1) and a remainder.  Texts without tokens keep one row with null part.
     """
-    sized = cut(token_counts(df, id_col, text_col, ranks_path))
-    cap = F.lit(capacity)
-    full = F.floor(F.col("n_tokens") / cap).cast("int")
-    rest = (F.col("n_tokens") % cap).cast("int")
-    sized = sized.withColumn("full", full).withColumn("rest", rest).withColumn("n_parts", full + (rest > 0).cast("int"))
+    sized = token_counts(df, id_col, text_col, ranks_path)
+    full = F.floor(F.col("n_tokens") / capacity).cast("int")
+    rest = (F.col("n_tokens") % capacity).cast("int")
+    sized = stored(sized.withColumn("full", full).withColumn("rest", rest).withColumn("n_parts", full + (rest > 0).cast("int")))
 
     histogram = {r["rest"]: r["n"] for r in sized.where("rest > 0").groupBy("rest").agg(F.count("*").alias("n")).collect()}  # < capacity rows
-    runs = plan_packing(histogram, capacity)
-    first_full = max((r["container"] + r["containers"] for r in runs), default=0)
-
-    ranked = salted_rank(sized.where("rest > 0"), ["rest"], id_col, "rank", salts)
-    plan = df.sparkSession.createDataFrame(
-        pd.DataFrame(runs, columns=["run", "container", "containers", "size", "per_container", "rank", "load"]).astype("int64"), ", ".join(f"`{c}` long" for c in ("run", "container", "containers", "size", "per_container", "rank", "load"))
+    cut_up = {r["full"]: r["n"] for r in sized.where("full > 0").groupBy("full").agg(F.count("*").alias("n")).collect()}  # one row per number of full containers
+    windows, containers = plan_packing(histogram, capacity, tiers)
+    salts = lambda counts: max(1, -(-max(counts.values(), default=0) // salt_rows))
+    # Containers that a cut text fills come first, texts of most of them at the head; the others follow by falling load.
+    heads, whole = {}, 0
+    for parts in sorted(cut_up, reverse=True):
+        heads[parts] = whole
+        whole += parts * cut_up[parts]
+    total = whole + max((r["container"] + r["times"] for r in containers), default=0)
+    tables = (
+        _table(windows, "size", "rank", ("rank", "each", "load", "block", "tier")),
+        _table(containers, "load", "rank", ("rank", "each", "container")),
     )
-    by_size = plan.groupBy(F.col("size").cast("int").alias("rest")).agg(
-        F.sort_array(F.collect_list(F.struct("rank", "container", "per_container"))).alias("runs")
-    )  # one row per size, at most capacity - 1; its runs are bounded by the plan, not by the corpus
-    run = F.expr("element_at(filter(runs, r -> r.rank <= rank), -1)")
-    placed = (
-        ranked.join(F.broadcast(by_size), "rest")
-        .withColumn("r", run)
-        .withColumn("container", F.col("r.container") + F.floor((F.col("rank") - F.col("r.rank")) / F.col("r.per_container")))
-        .select(id_col, "n_tokens", "n_parts", F.col("full").alias("part"), F.col("rest").alias("part_tokens"), F.col("container").cast("long"))
-    )
-    # Full containers of texts above the capacity, numbered densely after the planned ones
-    # with the same salted ranks: running sum inside the salt plus the offset of the salt.
-    big = sized.where("full > 0").withColumn("salt", salt_of(id_col, salts=salts))
-    by_salt = big.groupBy("salt").agg(F.sum("full").alias("n")).orderBy("salt").collect()  # at most ``salts`` rows
-    starts, total = {}, first_full
-    for r in by_salt:
-        starts[r["salt"]] = total
-        total += r["n"]
-    start_of = F.create_map(*[F.lit(x).cast(t) for k, v in (starts or {-1: 0}).items() for x, t in ((k, "int"), (v, "long"))])
-    order = Window.partitionBy("salt").orderBy(F.xxhash64(id_col, F.lit(1)), id_col).rowsBetween(Window.unboundedPreceding, 0)
-    whole = (
-        big.withColumn("first", F.element_at(start_of, F.col("salt")) + F.sum("full").over(order) - F.col("full"))
+    shared = df.sparkSession.sparkContext.broadcast(tables)  # runs of the plan, bounded by the capacity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, rank = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("rest", "rank"))
+            tier, container = locate(size, rank, *shared.value) if len(size) else (size, size)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(id_col), batch.column("n_tokens"), batch.column("n_parts"), batch.column("full"), batch.column("rest"), pa.array(tier, pa.int32()), pa.array(container + whole, pa.int64())], names=names
+            )
+
+    names = [id_col, "n_tokens", "n_parts", "part", "part_tokens", "tier", "container"]
+    kind = sized.schema[id_col].dataType.simpleString()
+    shape = f"`{id_col}` {kind}, n_tokens int, n_parts int, part int, part_tokens int, tier int, container long"
+    ranked = salted_rank(sized.where("rest > 0").select(id_col, "n_tokens", "n_parts", "full", "rest"), ["rest"], id_col, "rank", salts(histogram))
+    placed = ranked.mapInArrow(run, shape)
+    big = salted_rank(sized.where("full > 0"), ["full"], id_col, "rank", salts(cut_up))
+    head = F.element_at(F.create_map(*[F.lit(x).cast(t) for k, v in (heads or {-1: 0}).items() for x, t in ((k, "int"), (v, "long"))]), F.col("full"))
+    whole_parts = (
+        big.withColumn("first", head + F.col("rank") * F.col("full"))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))
-        .select(id_col, "n_tokens", "n_parts", "part", cap.cast("int").alias("part_tokens"), (F.col("first") + F.col("part")).cast("long").alias("container"))
-    )
-    empty = sized.where("n_tokens = 0").select(
-        id_col, "n_tokens", "n_parts", F.lit(None).cast("int").alias("part"), F.lit(0).alias("part_tokens"), F.lit(None).cast("long").alias("container")
+        .select(id_col, "n_tokens", "n_parts", "part", F.lit(capacity).alias("part_tokens"), F.lit(capacity).alias("tier"), (F.col("first") + F.col("part")).cast("long").alias("container"))
     )
-    # Containers of one run are consecutive and equally loaded, runs go from long to short seeds:
-    # dealing back and forth over that order gives every step group a like load.
+    none = F.lit(None).cast("int")
+    empty = sized.where("n_tokens = 0").select(id_col, "n_tokens", "n_parts", none.alias("part"), F.lit(0).alias("part_tokens"), none.alias("tier"), F.lit(None).cast("long").alias("container"))
+    # Containers are numbered by falling load: dealing them back and forth balances the groups.
     groups = max(1, -(-total // GROUP_CONTAINERS))
     turn, seat = F.floor(F.col("container") / groups), F.pmod(F.col("container"), F.lit(groups))
     group = F.when(turn % 2 == 0, seat).otherwise(groups - 1 - seat).cast("long")
-    return placed.unionByName(whole).unionByName(empty).withColumn("step_group", group)
+    return placed.unionByName(whole_parts).unionByName(empty).withColumn("step_group", group)
 
 
 def split_documents(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents the packing had to cut: more tokens than one container holds."""
-    return packed.where("part = 0 and n_parts > 1").select(id_col)
+    """The documents the packing had to cut, by their first container: more tokens than one container holds."""
+    return packed.where("part = 0 and n_parts > 1 and container >= 0").select(id_col)
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -1,5 +1,6 @@
 import base64
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -46,22 +47,61 @@ def test_rows(spark, encoders):
     assert bpe.encode_texts(df.limit(0), "doc_id", "text").count() == 0
 
 
+def contents(histogram, capacity, tiers=None):
+    """Container -> list of (size, tier), by looking every single item up in the plan."""
+    windows, containers = packing.plan_packing(histogram, capacity, tiers)
+    if not windows:
+        return {}
+    size = np.repeat(list(histogram), list(histogram.values())).astype(np.int64)
+    rank = np.concatenate([np.arange(n) for n in histogram.values()]).astype(np.int64)
+    tables = packing._table(windows, "size", "rank", ("rank", "each", "load", "block", "tier")), packing._table(containers, "load", "rank", ("rank", "each", "container"))
+    tier, container = packing.locate(size, rank, *tables)
+    out = {}
+    for s, t, c in zip(size.tolist(), tier.tolist(), container.tolist(), strict=True):
+        out.setdefault(c, []).append((s, t))
+    assert sorted(out) == list(range(max(r["container"] + r["times"] for r in containers)))
+    return out
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20))
 def test_plan_places_every_item_once(histogram):
-    placed, load = {}, {}
-    for r in packing.plan_packing(histogram, 64):
-        placed.setdefault(r["size"], []).append((r["rank"], r["rank"] + r["per_container"] * r["containers"]))
-        for c in range(r["container"], r["container"] + r["containers"]):
-            load[c] = load.get(c, 0) + r["size"] * r["per_container"]
-    for size, n in histogram.items():
-        ends = sorted(placed[size])
-        assert ends[0][0] == 0 and ends[-1][1] == n
-        assert all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
-    assert all(x <= 64 for x in load.values())
-    # no two containers could be one
-    light = sorted(load.values())[:2]
+    placed = contents(histogram, 64)
+    load = [sum(s for s, _ in items) for items in placed.values()]
+    assert sum(map(len, placed.values())) == sum(histogram.values())
+    assert all(x <= 64 for x in load)
+    assert [load for _, load in sorted(zip(placed, load, strict=True))] == sorted(load, reverse=True)
+    # no two containers could be one, and an item stands in a window that holds it
+    light = sorted(load)[:2]
     assert len(light) < 2 or sum(light) > 64
+    assert all(s <= t for items in placed.values() for s, t in items)
+
+
+def test_tiers_change_the_plan():
+    """Long windows take fillers from shorter tiers; what is left of a short tier fills windows of its own length."""
+    histogram = {60: 2, 30: 4, 20: 3, 4: 6, 2: 8}
+    tiers, one = (packing.plan_packing(histogram, 64, t) for t in ([64, 32, 16], [64]))
+    assert tiers != one and {r["tier"] for r in tiers[0]} >= {64, 32} and {r["tier"] for r in one[0]} == {64}
+    assert {r["tier"] for r in tiers[0] if r["size"] == 4} == {64, 32}, "the gaps of the windows of 60 first, then those of 20"
+    assert {r["tier"] for r in tiers[0] if r["size"] == 30} == {32}
+
+
+def test_fill(encoders):
+    """Lengths like those of a corpus, mostly short: 99.5 % of the room is used."""
+    rng = np.random.default_rng(3)
+    sizes = np.minimum(np.maximum(1, rng.lognormal(4.3, 0.9, 20_000)), 2048).astype(int)
+    histogram = {int(s): int(n) for s, n in zip(*np.unique(sizes, return_counts=True), strict=True)}
+    placed = contents(histogram, packing.CAPACITY)
+    assert sizes.sum() >= 0.995 * packing.CAPACITY * len(placed)
+
+
+def test_groups_are_balanced(spark):
+    rows = [(i, "go " * (i % 700 + 1)) for i in range(4000)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), salt_rows=2)
+    loads = {r[0]: (r[1], r[2]) for r in packed.groupBy("step_group").agg({"part_tokens": "sum", "container": "approx_count_distinct"}).collect()}
+    tokens = [x for x, _ in loads.values()]
+    assert len(loads) > 5 and max(tokens) <= 1.01 * (sum(tokens) / len(tokens)) + packing.CAPACITY
+    assert packed.select("doc_id").distinct().count() == 4000
 
 
 def test_pack(spark, encoders):
