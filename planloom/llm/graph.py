@@ -4,8 +4,8 @@ Alternating large-star / small-star rounds (Kiveris et al., "Connected component
 in MapReduce and beyond").  Every round is two hash aggregations over the edges;
 lineage is cut by a reliable checkpoint per round, and a round only reads the
 checkpoint of the one before.  A star step sends a vertex's edges through a
-``min`` aggregation (combined before the shuffle) and a join on the vertex, so a
-hub is never collected into one row.
+``min`` aggregation (combined before the shuffle) and a join on the vertex and a salt,
+so the edges of a hub are met by ``HUB_SALTS`` tasks and never collected into one row.
 """
 
 from __future__ import annotations
@@ -14,6 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planloom.session import cut
+from planloom.skew import salt_of
+
+HUB_SALTS = 16
+
+
+def _with_least(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """``edges`` joined to ``low`` (unique on ``u``), the edges of one vertex over all salts."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(HUB_SALTS - 1)))
+    return edges.withColumn("s", salt_of("v", salts=HUB_SALTS)).join(low.withColumn("s", salts), ["u", "s"]).drop("s")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -21,10 +30,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = _with_least(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = _with_least(edges, low).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         out = out.unionByName(low.select("u", F.col("m").alias("v")))
     return out.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 

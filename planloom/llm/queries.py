@@ -102,7 +102,7 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    members, groups = splits.plan_groups(table(spark, d, "dataset_gpsr"), **_p5_args())
+    members, groups, _ = splits.plan_groups(table(spark, d, "dataset_gpsr"), **_p5_args())
     pairs = splits.tied_pairs(members, groups, "family")
     return pairs.select(F.col("a").alias("family_a"), F.col("b").alias("family_b"))
 

@@ -7,8 +7,9 @@
    exponential-tilting problem.  The odds of the base rate n/N are tilted by
    exp(lambda_category); gradient and Hessian need the category moments alone.
 4. *Sampling*: the pivotal method in bounded blocks of each category; the at most one
-   undecided row of every block meets the others of its category in a second round,
-   so a category of any size is drawn by many tasks and its size is right to one row.
+   undecided row of every block meets the others of its category in further rounds of
+   bounded blocks, until one is left of each, so a category of any size is drawn by many
+   tasks and its size is right to one row.
 
 Defined cases: labels are compared without letter case and surrounding blanks, tabs
 and line ends; null labels and labels without target have share 0; repeated rows are
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,28 +137,31 @@ def draw(df: DataFrame, id_col: str, category: Column, solved: pd.DataFrame, see
     kind = rows.schema["__id"].dataType.simpleString()
     shape = f"label string, __id {kind}, __p double"
 
-    def run(salt: int):
+    def run(level: int, last: bool = False):
         def block(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values("__id", kind="stable")
-            rng = np.random.default_rng(abs(hash((seed, salt, *[int.from_bytes(str(k).encode()[:32], "little") for k in key]))))
+            rng = np.random.default_rng([seed, level, xxhash.xxh3_64_intdigest(repr(key).encode())])
             part = part.iloc[rng.permutation(len(part))]
             chosen, at, q = pivotal(part["__p"].to_numpy(), rng)
             p = chosen.astype(float)
             if at >= 0:
                 # the last round settles the last unit by its own probability
-                p[at] = q if salt < 2 else float(rng.random() < q)
+                p[at] = float(rng.random() < q) if last else q
             keep = p > 0
             return pd.DataFrame({"label": part["label"].to_numpy()[keep], "__id": part["__id"].to_numpy()[keep], "__p": p[keep]})
 
         return block
 
-    first = rows.select("label", "__block", "__id", "__p").groupBy("label", "__block").applyInPandas(run(0), shape)
-    first = cut(first)
-    # one row per block at most, available / BLOCK_ROWS of a category; then one per category
-    second = cut(first.where("__p < 1").groupBy("label").applyInPandas(run(1), shape))
-    last = second.where("__p < 1").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run(2), shape)
-    done = first.where("__p = 1").unionByName(second.where("__p = 1")).unionByName(last)
-    return done.select("label", F.col("__id").alias(id_col))
+    now = cut(rows.select("label", "__block", "__id", "__p").groupBy("label", "__block").applyInPandas(run(0), shape))
+    done, level, most = now.where("__p = 1"), 1, int(blocks.max()) if len(one) else 1
+    while most > 1:  # one row of each block at most is left: they meet in blocks of their own
+        most = -(-most // BLOCK_ROWS)
+        left = now.where("__p < 1").withColumn("__block", F.pmod(F.xxhash64("__id", F.lit(level)), F.lit(most)))
+        now = cut(left.groupBy("label", "__block").applyInPandas(run(level), shape))
+        done, level = done.unionByName(now.where("__p = 1")), level + 1
+    # one row per category at most
+    final = now.where("__p < 1").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run(level, last=True), shape)
+    return done.unionByName(final).select("label", F.col("__id").alias(id_col))
 
 
 def gaps(df: DataFrame, solved: pd.DataFrame, grain: str) -> DataFrame:

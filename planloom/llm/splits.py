@@ -2,15 +2,18 @@
 
 1. Rows that share a key (of any key column), directly or through other rows, form
    a component; components come from the distinct pairs of keys, not from the rows.
-2. Components of the same size and label profile are bundled.  Sizes are exact up
-   to 1,000 and have three significant digits beyond; the profile is the most
-   frequent label and its share in tenths.  So the bundles are some thousands
-   whatever the corpus, and only they reach the driver.
+2. Components of the same size and label profile are bundled.  The profile is the most
+   frequent label and its share in tenths.  Sizes are exact, but for components above
+   1,000 rows that hold less than a ``1 / EXACT_SHARE`` of all rows: of these, sizes with
+   the same first three digits are one bundle, counted with its mean size.  Beyond
+   ``MAX_LABELS`` labels, those of fewest rows count as one.  So the bundles are bounded,
+   and only they reach the driver.
 3. Split quotas are solved as a min-cost flow from the bundles (merged by label and
    by the splits they fit into) through label quotas to split quotas; rows beyond a
    quota cost their deviation.
 4. The flow is rounded to whole components, largest first.
-5. The components of a bundle are numbered by hash and dealt by these numbers.
+5. The components of a bundle are numbered by hash and dealt by these numbers; rows
+   without a key, a bundle of single rows per label, are dealt by their hash alone.
 
 Defined cases: null or blank keys tie nothing; a row without any key is a component
 of its own; repeated rows count each; an empty table gives no rows.
@@ -29,7 +32,10 @@ from planloom.session import cut
 from planloom.skew import lookup_join, salted_rank
 
 SPLITS = {"train": 80, "validation": 10, "test": 10}
-SALTS = 64
+SALT_GROUPS = 250_000  # components of one bundle that one task numbers
+EXACT_SHARE = 10_000  # a component of more than this part of the rows is bundled by its exact size
+MAX_LABELS = 1_000  # labels with quotas of their own
+LOOSE = "row:"  # component of a row without a key
 OVER_LABEL, OVER_SPLIT, MISFIT = 1, 4, 16  # cost of a row beyond a label quota, a split quota, in a split smaller than its component
 
 
@@ -106,11 +112,12 @@ def solve_quotas(bundles: list[dict], shares: dict[str, int]) -> list[dict]:
         all_open = sum(want.values())
         ideal = {s: b["n"] * want[s] / all_open if all_open else b["n"] * shares[s] / whole for s in names}
         counts = {s: int(ideal[s]) for s in names}
+        size = b["rows"] / b["n"]
         for _ in range(b["n"] - sum(counts.values())):
-            s = max(names, key=lambda s: (open_rows[c, s] - counts[s] * b["size"], -names.index(s)))
+            s = max(names, key=lambda s: (open_rows[c, s] - counts[s] * size, -names.index(s)))
             counts[s] += 1
         for s in names:
-            open_rows[c, s] -= counts[s] * b["size"]
+            open_rows[c, s] -= counts[s] * size
         out.append(b | {"counts": counts})
     return out
 
@@ -120,75 +127,85 @@ def key_nodes(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
     return df.withColumns({f"__node_{k}": F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"{k}:"), c)) for k, c in keys.items()})
 
 
-def plan_groups(df: DataFrame, id_col: str, keys: dict[str, Column], label: Column, shares: dict[str, int] = SPLITS) -> tuple[DataFrame, DataFrame]:
-    """``(nodes, groups)``: every key with its component, and every component with size and split."""
+def _known_labels(tagged: DataFrame) -> DataFrame:
+    """``tagged`` with ``__label`` cut down to the ``MAX_LABELS`` labels of most rows."""
+    counts = tagged.groupBy("__label").agg(F.count("*").alias("n"))
+    top = [r["__label"] for r in counts.orderBy(F.desc("n"), "__label").limit(MAX_LABELS + 1).collect()]
+    if len(top) <= MAX_LABELS:
+        return tagged
+    kept = tagged.sparkSession.createDataFrame([(x,) for x in top[:MAX_LABELS]], "__label string").withColumn("__kept", F.lit(True))
+    return tagged.join(F.broadcast(kept), "__label", "left").withColumn("__label", F.when(F.col("__kept"), F.col("__label")).otherwise("")).drop("__kept")
+
+
+def plan_groups(df: DataFrame, id_col: str, keys: dict[str, Column], label: Column, shares: dict[str, int] = SPLITS) -> tuple[DataFrame, DataFrame, list[dict]]:
+    """``(members, groups, loose)``: every key with its component, every component with its rows and split, and the solved bundles of rows without a key."""
     nodes = [f"__node_{k}" for k in keys]
     tagged = key_nodes(df.select(F.col(id_col).alias("__id"), *[c.alias(k) for k, c in keys.items()], F.coalesce(label, F.lit("")).alias("__label")), {k: F.col(k) for k in keys})
-    combos = cut(tagged.where(" or ".join(f"{n} is not null" for n in nodes)).groupBy(*nodes, "__label").agg(F.count("*").alias("n")))
-    pairs = None
-    for a, b in zip(nodes, nodes[1:], strict=False):
+    # one aggregation with map-side combine; rows without a key are one combination per label
+    combos = cut(_known_labels(tagged).groupBy(*nodes, "__label").agg(F.count("*").alias("n")))
+    edges = combos.select(F.lit(None).cast("string").alias("u"), F.lit(None).cast("string").alias("v")).limit(0)
+    for at, a in enumerate(nodes):
         # rows may lack a key in the middle; every pair of columns ties
-        for other in nodes[nodes.index(a) + 1 :]:
-            e = combos.where(f"{a} is not null and {other} is not null").select(F.col(a).alias("u"), F.col(other).alias("v"))
-            pairs = e if pairs is None else pairs.unionByName(e)
-    tied = components(pairs)
-    every = None
-    for n in nodes:
-        part = combos.where(f"{n} is not null").select(F.col(n).alias("node"))
-        every = part if every is None else every.unionByName(part)
-    members = cut(every.distinct().join(tied, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+        for other in nodes[at + 1 :]:
+            edges = edges.unionByName(combos.where(f"{a} is not null and {other} is not null").select(F.col(a).alias("u"), F.col(other).alias("v")))
+    tied = components(edges)
+    every = combos.select(F.explode(F.array(*nodes)).alias("node")).where("node is not null").distinct()
+    members = cut(every.join(tied, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
     # a combination belongs to the component of its first key
-    first = F.coalesce(*nodes)
-    keyed = combos.select(first.alias("node"), "__label", "n").groupBy("node", "__label").agg(F.sum("n").alias("n"))
-    sized = keyed.join(members, "node").groupBy("component", "__label").agg(F.sum("n").alias("n"))
-    alone = tagged.where(" and ".join(f"{n} is null" for n in nodes)).select(
-        F.concat(F.lit("row:"), F.xxhash64("__id").cast("string"), F.lit(":"), F.col("__id").cast("string")).alias("component"), "__label", F.lit(1).cast("long").alias("n")
-    )
+    keyed = combos.select(F.coalesce(*nodes).alias("node"), "__label", "n").groupBy("node", "__label").agg(F.sum("n").alias("n"))
+    sized = keyed.where("node is not null").join(members, "node").groupBy("component", "__label").agg(F.sum("n").alias("n"))
     stats = (
-        sized.unionByName(alone)
-        .groupBy("component")
+        sized.groupBy("component")
         .agg(F.sum("n").alias("n_rows"), F.max(F.struct("n", "__label")).alias("top"))
-        .select(
-            "component",
-            "n_rows",
-            F.col("top.__label").alias("label"),
-            F.floor(F.col("top.n") * 10 / F.col("n_rows")).cast("int").alias("profile"),
-        )
+        .select("component", "n_rows", F.col("top.__label").alias("label"), F.floor(F.col("top.n") * 10 / F.col("n_rows")).cast("int").alias("profile"))
     )
+    free = {r["__label"]: r["n"] for r in keyed.where("node is null").collect()}  # at most MAX_LABELS rows
+    total = combos.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     digits = F.pow(F.lit(10), F.greatest(F.lit(0), F.floor(F.log10("n_rows")) - 2)).cast("long")
-    stats = cut(stats.withColumn("size", F.when(F.col("n_rows") <= 1000, F.col("n_rows")).otherwise((F.col("n_rows") / digits).cast("long") * digits)))
+    exact = (F.col("n_rows") <= 1000) | (F.col("n_rows") * EXACT_SHARE > total)
+    stats = cut(stats.withColumn("size", F.when(exact, F.col("n_rows")).otherwise((F.col("n_rows") / digits).cast("long") * digits)))
+    # at most 1,000 + EXACT_SHARE + some thousand sizes, MAX_LABELS labels and ten profiles
     bundles = [r.asDict() for r in stats.groupBy("size", "label", "profile").agg(F.count("*").alias("n"), F.sum("n_rows").alias("rows")).collect()]
+    bundles += [{"size": 1, "label": x, "profile": ALONE, "n": n, "rows": n} for x, n in sorted(free.items())]
+    solved = solve_quotas(bundles, shares)
     names = list(shares)
-    rows = []
-    for b in solve_quotas(bundles, shares):
-        end = 0
-        ends = {}
-        for s in names:
-            end += b["counts"][s]
-            ends[s] = end
-        rows.append((b["size"], b["label"], b["profile"], *[ends[s] for s in names]))
+    ends = lambda b: [sum(b["counts"][s] for s in names[: k + 1]) for k in range(len(names))]
+    rows = [(b["size"], b["label"], b["profile"], *ends(b)) for b in solved if b["profile"] != ALONE]
     frame = pd.DataFrame(rows, columns=["size", "label", "profile", *[f"__end_{s}" for s in names]])
     dealt = df.sparkSession.createDataFrame(frame, "size long, label string, profile int, " + ", ".join(f"__end_{s} long" for s in names))
     split = F.coalesce(*[F.when(F.col("__rank") < F.col(f"__end_{s}"), s) for s in names])
+    salts = max(1, -(-max((b["n"] for b in solved if b["profile"] != ALONE), default=0) // SALT_GROUPS))
     groups = (
-        salted_rank(stats, ["size", "label", "profile"], "component", "__rank", SALTS)
+        salted_rank(stats, ["size", "label", "profile"], "component", "__rank", salts)
         .join(F.broadcast(dealt), ["size", "label", "profile"])
         .select("component", "n_rows", "label", split.alias("split"))
     )
-    return members, cut(groups)
+    return members, cut(groups), [b for b in solved if b["profile"] == ALONE]
+
+
+ALONE = -1  # profile of the rows without a key
 
 
 def assign_splits(df: DataFrame, id_col: str, keys: dict[str, Column], label: Column, shares: dict[str, int] = SPLITS) -> DataFrame:
     """``id_col, component, split`` for every row of ``df``."""
-    members, groups = plan_groups(df, id_col, keys, label, shares)
-    slim = df.select(F.col(id_col).alias("__id"), *[c.alias(k) for k, c in keys.items()])
-    nodes = [f"__node_{k}" for k in keys]
-    own = F.concat(F.lit("row:"), F.xxhash64("__id").cast("string"), F.lit(":"), F.col("__id").cast("string"))
-    rows = key_nodes(slim, {k: F.col(k) for k in keys}).select("__id", F.coalesce(*nodes, own).alias("node"))
+    members, groups, loose = plan_groups(df, id_col, keys, label, shares)
+    slim = df.select(F.col(id_col).alias("__id"), *[c.alias(k) for k, c in keys.items()], F.coalesce(label, F.lit("")).alias("__label"))
+    rows = key_nodes(slim, {k: F.col(k) for k in keys}).select("__id", "__label", F.coalesce(*[f"__node_{k}" for k in keys]).alias("node"))
     where = members.join(groups, "component").select("node", "component", "split")
-    loose = groups.where(F.col("component").startswith("row:")).select(F.col("component").alias("node"), "component", "split").distinct()
-    out = lookup_join(rows, cut(where.unionByName(loose)), "node", "__id")
-    return out.select(F.col("__id").alias(id_col), "component", "split")
+    tied = lookup_join(rows.where("node is not null"), cut(where), "node", "__id").select("__id", "component", "split")
+    # a row without a key goes by its hash: the shares of its label's bundle are ranges of it
+    place = F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    names = list(shares)
+    if loose:
+        ends = {b["label"]: [sum(b["counts"][s] for s in names[: k + 1]) / b["n"] for k in range(len(names))] for b in loose}
+        side = df.sparkSession.createDataFrame([(x, e) for x, e in ends.items()], "__known string, __ends array<double>")
+        other = ends.get("", [sum(shares[s] for s in names[: k + 1]) / sum(shares.values()) for k in range(len(names))])
+        free = rows.where("node is null").join(F.broadcast(side), F.col("__label") == F.col("__known"), "left")
+        free = free.withColumn("__ends", F.coalesce("__ends", F.array(*map(F.lit, other))))
+        share = F.coalesce(*[F.when(place < F.get("__ends", F.lit(k)), s) for k, s in enumerate(names)], F.lit(names[-1]))
+        own = F.concat(F.lit(LOOSE), F.xxhash64("__id").cast("string"), F.lit(":"), F.col("__id").cast("string"))
+        tied = tied.unionByName(free.select("__id", own.alias("component"), share.alias("split")))
+    return tied.select(F.col("__id").alias(id_col), "component", "split")
 
 
 def tied_pairs(members: DataFrame, groups: DataFrame, key: str) -> DataFrame:

@@ -83,11 +83,59 @@ def test_splits(spark):
         assert all(len(v) == 1 for v in of.values()), key
     n = Counter(r.split for r in got)
     assert abs(n["train"] - 0.8 * len(rows)) < 0.02 * len(rows) and min(n["validation"], n["test"]) > 0.08 * len(rows)
-    members, groups = splits.plan_groups(df, "row_id", keys, F.col("cat"))
+    members, groups, _ = splits.plan_groups(df, "row_id", keys, F.col("cat"))
     assert {(r.a, r.b) for r in splits.tied_pairs(members, groups, "family").collect()} == {("f1", "f2"), ("f3", "f4")}
     assert splits.assign_splits(df.limit(0), "row_id", keys, F.col("cat")).count() == 0
 
 
+def test_splits_by_one_key(spark):
+    rows = [(i, f"g{i % 200}" if i % 3 else None, "x") for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_id long, g string, cat string")
+    got = splits.assign_splits(df, "row_id", {"g": F.col("g")}, F.col("cat")).join(df, "row_id").collect()
+    of: dict = {}
+    for r in got:
+        of.setdefault(r.g, set()).add(r.split)
+    n = Counter(r.split for r in got)
+    assert all(len(v) == 1 for k, v in of.items() if k is not None) and len(of[None]) == 3 and len(got) == 3000
+    assert abs(n["train"] - 2400) < 60 and min(n["validation"], n["test"]) > 250
+
+
+def test_splits_with_large_components(spark, monkeypatch):
+    """Quotas count components above 1,000 rows by what they hold, not by a rounded size."""
+    sizes = [1999, 1501, 1333, 1234, 1111, 1099] + [37] * 60
+    rows = [(k, f"c{k}", n, f"l{k % 7}") for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "k long, fam string, n long, cat string").selectExpr("explode(sequence(1L, n)) i", "k", "fam", "cat").selectExpr("k * 100000 + i row_id", "fam", "cat")
+    for share in (splits.EXACT_SHARE, 1):  # exact sizes, and three digits
+        monkeypatch.setattr(splits, "EXACT_SHARE", share)
+        n = {r.split: r["count"] for r in splits.assign_splits(df, "row_id", {"family": F.col("fam")}, F.col("cat")).groupBy("split").count().collect()}
+        assert sum(n.values()) == sum(sizes) and abs(n["train"] - 0.8 * sum(sizes)) < 200 and abs(n["test"] - 0.1 * sum(sizes)) < 200
+
+
+def test_more_labels_than_quotas(spark, monkeypatch):
+    monkeypatch.setattr(splits, "MAX_LABELS", 3)
+    df = spark.createDataFrame([(i, f"g{i % 50}" if i % 2 else None, f"l{i % 10}") for i in range(2000)], "row_id long, g string, cat string")
+    out = splits.assign_splits(df, "row_id", {"g": F.col("g")}, F.col("cat"))
+    assert out.count() == 2000 and out.where("split is null").count() == 0
+
+
+def test_long_labels_have_draws_of_their_own(spark):
+    """Labels that share their first 40 letters are not drawn alike."""
+    rows = [(i, "x" * 40 + "ab"[i % 2]) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, family string")
+    targets = spark.createDataFrame([("x" * 40 + "a", 500, 1), ("x" * 40 + "b", 500, 1)], "label string, target_permille int, min_rows int")
+    drawn = sampling.draw(df, "row_id", F.col("family"), sampling.calibrate(df, F.col("family"), targets)).collect()
+    a, b = ({r.row_id // 2 for r in drawn if r.label.endswith(x)} for x in "ab")
+    assert len(a) == len(b) == 40 and a != b
+
+
+def test_draw_in_many_rounds(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "BLOCK_ROWS", 3)
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(300)], "row_id long, family string")
+    targets = spark.createDataFrame([("a", 300, 1), ("b", 700, 1)], "label string, target_permille int, min_rows int")
+    drawn = sampling.draw(df, "row_id", F.col("family"), sampling.calibrate(df, F.col("family"), targets)).collect()
+    assert Counter(r.label for r in drawn) == {"a": 18, "b": 42} and len({r.row_id for r in drawn}) == 60
+
+
 @pytest.mark.parametrize("name", ["p3_gaps", "p3_found", "p4_terms", "p4_found", "p5_found"])
 def test_sql(spark, name):
     con = duckdb.connect()
