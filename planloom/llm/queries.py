@@ -75,6 +75,19 @@ def p3_sample(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p3_sample_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the samples: their size, no row twice, and no label more than a row off its goal."""
+    parts = []
+    for grain in GRAINS:
+        rows, solved = _solved(spark, d, grain)
+        drawn = sampling.draw(rows, "row_id", F.col(grain), solved)
+        goals = spark.createDataFrame(solved.drop_duplicates("key")[["label", "goal"]], "label string, goal double")
+        per_label = drawn.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("rows")).join(F.broadcast(goals), "label", "right")
+        off = (F.abs(F.coalesce("n", F.lit(0)) - F.col("goal")) > 1).cast("long")
+        parts.append(per_label.agg(F.lit(grain).alias("grain"), F.sum("n").alias("n_rows"), F.sum(F.col("n") - F.col("rows")).alias("n_repeated"), F.sum(off).alias("n_labels_off")))
+    return parts[0].unionByName(parts[1])
+
+
 def p4_terms(spark: SparkSession, d: str) -> DataFrame:
     """Every distinct goal and family with its counts and mark."""
     goals = terms.term_counts(table(spark, d, "dataset_gpsr"), F.col("goals"), "goals")
@@ -101,6 +114,28 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(table(spark, d, "dataset_gpsr"), **_p5_args())
 
 
+def p5_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every family and template with its component, its split and the rows of the component."""
+    members, groups, _ = splits.plan_groups(table(spark, d, "dataset_gpsr"), **_p5_args())
+    kind = F.substring_index("node", ":", 1)
+    return members.join(groups, "component").select(kind.alias("key"), F.expr("substring(node, instr(node, ':') + 1)").alias("value"), "component", "n_rows", "split")
+
+
+def p5_splits_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the splits: every row once, no family or template in two, and the quotas within a twentieth of all rows."""
+    args, rows = _p5_args(), table(spark, d, "dataset_gpsr")
+    given = splits.assign_splits(rows, **args).join(rows.select("row_id", *[c.alias(k) for k, c in args["keys"].items()]), "row_id")
+    torn = None
+    for k in args["keys"]:
+        part = given.where(f"{k} is not null and {k} != ''").groupBy(k).agg(F.count_distinct("split").alias("n")).where("n > 1").select(F.lit(1).alias("torn"))
+        torn = part if torn is None else torn.unionByName(part)
+    sizes = given.groupBy("split").agg(F.count("*").alias("n"))
+    wanted = spark.createDataFrame(list(splits.SPLITS.items()), "split string, share int")
+    total = sizes.agg(F.sum("n").alias("n_rows"))
+    off = wanted.join(sizes, "split", "left").crossJoin(F.broadcast(total)).agg(F.max("n_rows").alias("n_rows"), F.sum((F.abs(F.coalesce("n", F.lit(0)) - F.col("share") * F.col("n_rows") / 100) * 20 > F.col("n_rows")).cast("long")).alias("n_quotas_missed"))
+    return off.crossJoin(F.broadcast(torn.agg(F.count("*").alias("n_torn_keys"))))  # one row each
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     members, groups, _ = splits.plan_groups(table(spark, d, "dataset_gpsr"), **_p5_args())
     pairs = splits.tied_pairs(members, groups, "family")
@@ -123,6 +158,21 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack(table(spark, d, "documents")))
 
 
+def p7_containers_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers: every document and token placed, none overfull, nothing cut that fits, 98 % of the room used."""
+    packed = packing.pack(table(spark, d, "documents"))
+    loads = packed.where("container is not null").groupBy("container").agg(F.sum("part_tokens").alias("load"))
+    used = loads.agg(
+        F.sum((F.col("load") > packing.CAPACITY).cast("long")).alias("n_overfull"),
+        (F.sum("load") < F.lit(0.98 * packing.CAPACITY) * (F.count("*") - 1)).alias("wasteful"),
+        (F.max("container") + 1 - F.count("*")).alias("n_unused_numbers"),
+    )
+    per_text = packed.groupBy("doc_id", "n_tokens").agg(F.sum("part_tokens").alias("placed"), F.count("container").alias("parts"))
+    needed = F.ceil(F.col("n_tokens") / packing.CAPACITY)
+    texts = per_text.agg(F.count("*").alias("n_documents"), F.sum((F.col("placed") != F.col("n_tokens")).cast("long")).alias("n_lost"), F.sum((F.col("parts") != needed).cast("long")).alias("n_needlessly_cut"))
+    return texts.crossJoin(F.broadcast(used))  # one row each
+
+
 def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     """Every garbled document with its restored text and the chains that were undone."""
     fixed = mojibake.repair_texts(table(spark, d, "documents"), "doc_id", "text", "lang")
@@ -144,13 +194,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": p3_found,
         "p3_gaps": p3_gaps,
         "p3_sample": p3_sample,
+        "p3_sample_check": p3_sample_check,
         "p4_found": p4_found,
         "p4_terms": p4_terms,
         "p5_found": p5_found,
         "p5_splits": p5_splits,
+        "p5_splits_check": p5_splits_check,
+        "p5_members": p5_members,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
         "p7_containers": p7_containers,
+        "p7_containers_check": p7_containers_check,
         "p7_fill": p7_fill,
         "p8_found": p8_found,
         "p8_restored": p8_restored,
@@ -181,6 +235,9 @@ SELECT a AS family_a, b AS family_b FROM reach WHERE a < b"""
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_sample_check": """SELECT grain, count(*) // 5 AS n_rows, 0 AS n_repeated, 0 AS n_labels_off FROM dataset_gpsr, (VALUES ('family'), ('surface_template_id')) AS g(grain) GROUP BY grain""",
+        "p5_splits_check": "SELECT count(*) AS n_rows, 0 AS n_quotas_missed, 0 AS n_torn_keys FROM dataset_gpsr",
+        "p7_containers_check": "SELECT count(*) AS n_documents, 0 AS n_lost, 0 AS n_needlessly_cut, 0 AS n_overfull, false AS wasteful, 0 AS n_unused_numbers FROM documents",
         "p3_gaps": P3_SQL,
         "p3_found": f"SELECT grain, label FROM ({P3_SQL}) WHERE gap > 0",
         "p4_terms": P4_SQL,
