@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planloom.functions.columns import text_key
-from planloom.skew import BROADCAST_ROWS, salt_of
+from planloom.skew import BROADCAST_ROWS, lookup_join, salt_of
 
 
 def hash_rank(seed: int | str, key: Column) -> Column:
@@ -14,16 +15,38 @@ def hash_rank(seed: int | str, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+def dedup_status_counts(df: DataFrame, id_col: str, text: str = "input", goals: str = "goals", valid: Column | None = None) -> DataFrame:
+    """``status, n``: how many rows :func:`dedup_status` would call what, by two aggregations and no join.
+
+    Rows are counted per text and plan first (128-bit hashes of both, combined before the
+    shuffle), then per text: the plan of the first row has one row added, its others are
+    duplicates, all other plans are label conflicts.
+    """
+    ok = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
+    key = F.md5(text_key(F.coalesce(F.col(text), F.lit(""))))
+    plan = F.when(F.col(goals).isNotNull(), F.md5(F.to_json(F.struct(goals))))
+    pairs = df.select(ok.alias("ok"), F.when(ok, key).alias("k"), F.when(ok, plan).alias("g"), F.col(id_col).alias("id")).groupBy("ok", "k", "g").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    texts = pairs.groupBy("ok", "k").agg(F.sum("n").alias("n"), F.min_by("n", "id").alias("of_first"))
+    counts = texts.select(
+        F.explode(
+            F.when(F.col("ok"), F.array(*[F.struct(F.lit(x).alias("status"), c.cast("long").alias("n")) for x, c in (("added", F.lit(1)), ("duplicate", F.col("of_first") - 1), ("label_conflict", F.col("n") - F.col("of_first")))]))
+            .otherwise(F.array(F.struct(F.lit("invalid_label").alias("status"), F.col("n").alias("n"))))
+        ).alias("c")
+    )
+    return counts.groupBy("c.status").agg(F.sum("c.n").alias("n")).where("n > 0")
+
+
 def dedup_status(df: DataFrame, id_col: str, text: str = "input", goals: str = "goals", valid: Column | None = None) -> DataFrame:
     """Add ``status``: 'added' for the first row of a text, then 'duplicate' or 'label_conflict'; 'invalid_label' where ``valid`` is false.
 
     The first row of a text is found by an aggregation that keeps one row per task and
-    text, so the copies of a text that a third of all rows hold are never sorted in one task.
+    text; its rows are joined back over a salt, so the copies of a text that a third of
+    all rows hold are neither sorted nor joined in one task.
     """
     ok = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
     keyed = df.withColumn("__key", text_key(F.coalesce(F.col(text), F.lit("")))).withColumn("__ok", ok)
     first = keyed.where("__ok").groupBy("__key").agg(F.min_by(F.struct(F.col(id_col).alias("id"), F.col(goals).alias("goals")), F.col(id_col)).alias("__first"))
-    joined = keyed.join(first, "__key", "left")
+    joined = lookup_join(keyed, first, "__key", id_col, "left")
     status = (
         F.when(~F.col("__ok"), "invalid_label")
         .when(F.col(id_col) == F.col("__first.id"), "added")
@@ -66,24 +89,24 @@ MAX_STRATA = 100_000  # strata of a balanced build; their quotas are solved on t
 def raise_level(base: list[int], caps: list[int], goal: int) -> list[int]:
     """Raise the lowest of ``base`` to a common level, none above its cap, until the sum is ``goal`` (or all are full).
 
-    A remainder below one step for each goes to the first open ones.
+    A remainder below one step for each goes to the first open ones.  The level is found by bisection.
     """
-    now = [min(b, c) for b, c in zip(base, caps, strict=True)]
-    goal = min(goal, sum(caps))
-    while sum(now) < goal:
-        open_ = [i for i, (x, c) in enumerate(zip(now, caps, strict=True)) if x < c]
-        low = min(now[i] for i in open_)
-        lowest = [i for i in open_ if now[i] == low]
-        higher = [now[i] for i in open_ if now[i] > low]
-        top = min([*higher, *(caps[i] for i in lowest)])
-        step = min(top - low, (goal - sum(now)) // len(lowest))
-        if step:
-            for i in lowest:
-                now[i] += step
+    low, top = np.minimum(base, caps).astype(np.int64), np.array(caps, dtype=np.int64)
+    goal = min(goal, int(top.sum()))
+    at_level = lambda x: np.minimum(top, np.maximum(low, x))
+    if goal <= low.sum():
+        return low.tolist()
+    below, above = int(low.min()), int(top.max()) + 1
+    while above - below > 1:
+        middle = (below + above) // 2
+        if at_level(middle).sum() <= goal:
+            below = middle
         else:
-            for i in lowest[: goal - sum(now)]:
-                now[i] += 1
-    return now
+            above = middle
+    now = at_level(below)
+    open_ = np.flatnonzero((now == below) & (now < top))
+    now[open_[: goal - int(now.sum())]] += 1
+    return now.tolist()
 
 
 def water_fill(strata: DataFrame) -> DataFrame:

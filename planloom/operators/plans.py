@@ -75,10 +75,10 @@ def source_row_problem(text: Column, goals: Column, parsed: Column) -> Column:
     """First problem of a training row, or null: input, goals, schema, marker."""
     bad_list = goals.isNull() | (F.size(goals) == 0) | F.exists(goals, lambda g: g.isNull() | (strip(g) == ""))
     return (
-        F.when(text.isNull() | (strip(text) == ""), "input must be a non-empty string")
-        .when(bad_list, "goals must be a non-empty list of strings")
-        .when(F.size(V.issues(goals, parsed)) > 0, F.concat(F.lit("invalid goals: "), V.issue_text(F.get(V.issues(goals, parsed), F.lit(0)))))
-        .when(has_marker(text, F.array_join(goals, "")), "row holds a marker")
+        F.when(text.isNull() | (strip(text) == ""), "no input")
+        .when(bad_list, "no goals or a blank one")
+        .when(F.size(V.issues(goals, parsed)) > 0, F.concat(F.lit("bad plan: "), V.issue_text(F.get(V.issues(goals, parsed), F.lit(0)))))
+        .when(has_marker(text, F.array_join(goals, "")), "marker in the row")
     )
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planloom.functions import goals as G
@@ -20,7 +20,7 @@ from planloom.operators import catalog as C
 from planloom.operators import plans as P
 from planloom.operators import scoring as S
 from planloom.plans import sqltext as Q
-from planloom.session import cut, spread, table
+from planloom.session import cut, stored, spread, table
 from planloom.sources.catalogs import from_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,9 +214,19 @@ f AS (SELECT *, CASE WHEN ok THEN first_value(row_id) OVER w END AS first_id, CA
 SELECT CASE WHEN NOT ok THEN 'invalid_label' WHEN row_id = first_id THEN 'added' WHEN {SAME} THEN 'duplicate' ELSE 'label_conflict' END AS status, count(*) AS n FROM f GROUP BY 1"""
 )
 def dedup_status_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = P.with_issues(dataset(spark, d).select("row_id", "input", "goals")).select("row_id", "input", "goals", "valid")
-    rows = cut(rows)  # validated once, read twice
-    return B.dedup_status(rows, "row_id", valid=F.col("valid")).groupBy("status").agg(F.count("*").alias("n"))
+    rows = P.with_issues(dataset(spark, d).select("row_id", "input", "goals"))
+    return B.dedup_status_counts(rows, "row_id", valid=F.col("valid"))
+
+
+@query(
+    f"""{ISSUES_SQL}, base AS (SELECT row_id, goals, {KEY_SQL} AS k, row_id NOT IN (SELECT id FROM issues) AS ok FROM dataset_gpsr),
+f AS (SELECT *, CASE WHEN ok THEN first_value(row_id) OVER w END AS first_id, CASE WHEN ok THEN first_value(goals) OVER w END AS first_goals FROM base WINDOW w AS (PARTITION BY k, ok ORDER BY row_id))
+SELECT row_id, CASE WHEN NOT ok THEN 'invalid_label' WHEN row_id = first_id THEN 'added' WHEN {SAME} THEN 'duplicate' ELSE 'label_conflict' END AS status FROM f"""
+)
+def dedup_status(spark: SparkSession, d: str) -> DataFrame:
+    """The status of every row."""
+    rows = stored(P.with_issues(dataset(spark, d).select("row_id", "input", "goals")).select("row_id", "input", "goals", "valid"))  # validated once, read twice
+    return B.dedup_status(rows, "row_id", valid=F.col("valid")).select("row_id", "status")
 
 
 STRATA_SQL = (
@@ -229,8 +239,8 @@ N_SAMPLES = 4000
 def _valid_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = _valid(dataset(spark, d).select("row_id", "goals", "meta", "family"))
     category = F.when(F.col("meta.category") == "people", "people").otherwise("objects")
-    # parsed once: the strata are counted and the rows are ranked from the checkpoint
-    return cut(rows.select("row_id", category.alias("category"), _family().alias("family"), F.array_join(G.goal_signature(F.col("parsed")), " -> ").alias("signature")))
+    # parsed once: the strata are counted and the rows are ranked from the written table
+    return stored(rows.select("row_id", category.alias("category"), _family().alias("family"), F.array_join(G.goal_signature(F.col("parsed")), " -> ").alias("signature")))
 
 
 def _strata(rows: DataFrame) -> DataFrame:
@@ -265,7 +275,20 @@ def _final_quotas(rows: DataFrame) -> DataFrame:
     return B.water_fill(B.hierarchical_quota(strata, N_SAMPLES, 0.5).join(strata, ["category", "family", "signature"]))
 
 
-@query()
+# A stratum holds what the level of its group leaves it: the level is the highest whose sum is within the goal.
+_RAISED = lambda name, source, by, base, cap, goal, order: f"""{name}_l AS (SELECT {by}, max(l) AS l FROM (SELECT {by}, l, sum(least({cap}, greatest(least({base}, {cap}), l))) AS s, least(any_value({goal}), sum({cap})) AS g
+  FROM {source}, range({N_SAMPLES} + 1) AS r(l) GROUP BY {by}, l) WHERE s <= g OR l = 0 GROUP BY {by}),
+{name}_n AS (SELECT *, least({cap}, greatest(least({base}, {cap}), l)) AS now FROM {source} JOIN {name}_l USING ({by})),
+{name}_m AS (SELECT *, least({goal}, sum({cap}) OVER (PARTITION BY {by})) - sum(now) OVER (PARTITION BY {by}) AS rest, now = l AND now < {cap} AS open FROM {name}_n),
+{name} AS (SELECT *, CAST(now + (CASE WHEN open AND row_number() OVER (PARTITION BY {by}, open ORDER BY {order}) <= rest THEN 1 ELSE 0 END) AS BIGINT) AS final FROM {name}_m)"""
+FINAL_SQL = f"""{HIERARCHY_SQL}, leaf AS (SELECT h.*, s.capacity, category || chr(1) || family AS branch FROM h JOIN strata s USING (category, family, signature)),
+fam_sum AS (SELECT category, branch, sum(quota) AS q, sum(capacity) AS cap FROM leaf GROUP BY 1, 2), fam_goal AS (SELECT *, sum(q) OVER (PARTITION BY category) AS goal FROM fam_sum),
+{_RAISED("famx", "fam_goal", "category", "q", "cap", "goal", "branch")},
+leaf_goal AS (SELECT leaf.*, famx.final AS total FROM leaf JOIN famx USING (branch)),
+{_RAISED("leafx", "leaf_goal", "branch", "quota", "capacity", "total", "signature")}"""
+
+
+@query(f"{FINAL_SQL} SELECT category, family, signature, quota, capacity, final AS final_quota FROM leafx")
 def waterfill_quota(spark: SparkSession, d: str) -> DataFrame:
     return _final_quotas(_valid_rows(spark, d))
 
@@ -282,7 +305,12 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return B.fill_strata(rows, quotas, ["category", "family", "signature"], F.col("row_id"), 42, "quota").drop("rank")
 
 
-@query()
+@query(
+    f"{FINAL_SQL}, c AS (SELECT row_id, CASE WHEN meta.category = 'people' THEN 'people' ELSE 'objects' END AS category, {FAMILY_SQL} AS family, s AS signature FROM "
+    "(SELECT id, string_agg(name, ' -> ' ORDER BY i) AS s FROM vp GROUP BY id) x JOIN dataset_gpsr ON row_id = x.id) "
+    "SELECT row_id, category, family, signature FROM (SELECT c.*, final, row_number() OVER (PARTITION BY category, family, signature ORDER BY md5('42:' || row_id), row_id) AS r "
+    "FROM c JOIN leafx USING (category, family, signature)) WHERE r <= final"
+)
 def balanced_sample(spark: SparkSession, d: str) -> DataFrame:
     rows = _valid_rows(spark, d)
     return B.fill_strata(rows, _final_quotas(rows), ["category", "family", "signature"], F.col("row_id"), 42).drop("rank")
@@ -494,7 +522,17 @@ def catalog_drift(spark: SparkSession, d: str) -> DataFrame:
     return C.drift(rows.where("`group` = 'rooms'"), rows.where("`group` = 'locations'"))
 
 
-@query()
+_LISTED = lambda x: f"string_agg(DISTINCT {x}, ', ' ORDER BY {x})"
+
+
+@query(
+    f"""{CATALOG_SQL}, dup AS (SELECT grp, key FROM k GROUP BY 1, 2 HAVING count(*) > 1),
+hit AS (SELECT DISTINCT key FROM k WHERE grp = 'names' AND key <> '' AND key IN (SELECT key FROM k WHERE grp = 'objects')), odd AS (SELECT DISTINCT value FROM k WHERE grp = 'objects' AND value <> {Q.fold('value')})
+SELECT 'error' AS severity, 'empty_catalog' AS code, g AS message FROM (SELECT unnest(['names', 'objects', 'locations', 'rooms']) AS g) WHERE g NOT IN (SELECT grp FROM k)
+UNION ALL SELECT 'warning', 'duplicates', grp || ': ' || {_LISTED("key")} FROM dup GROUP BY grp
+UNION ALL SELECT 'error', 'person_object_collision', m FROM (SELECT {_LISTED("key")} AS m FROM hit) WHERE m IS NOT NULL
+UNION ALL SELECT 'warning', 'object_case', m FROM (SELECT {_LISTED("value")} AS m FROM odd) WHERE m IS NOT NULL"""
+)
 def catalog_report(spark: SparkSession, d: str) -> DataFrame:
     return C.catalog_issues(catalog(spark, d), ["names"], ["objects"], ["names", "objects", "locations", "rooms"])
 
@@ -502,19 +540,18 @@ def catalog_report(spark: SparkSession, d: str) -> DataFrame:
 # ---- normalisation ----------------------------------------------------------------------------
 
 _CLEAN = lambda x: Q.squeeze(f"replace(regexp_replace(translate(lower({x}), '_-’', '  '''), '[,.;:!?()\\[\\]{{}}]', ' ', 'g'), '''', '')")
-# words only, doubled blanks and blanks around: phrases are then plain substrings
-_WORDS = lambda x: f"' ' || replace(trim(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), ' ', '  ') || ' '"
-
-
-def _plain(c):
-    """Letters, digits and single blanks only, so that both engines agree on word borders."""
-    return F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}_]+", " "))
+_W = r"\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}\x{200C}\x{200D}"  # word characters
+# every word between two marks, so that a phrase is matched as whole words without looking behind
+_MARK = lambda x: f"regexp_replace({x}, '([{_W}]+)', chr(1) || '\\1' || chr(2), 'g')"
+_UNMARK = lambda x: f"translate({x}, chr(1) || chr(2), '')"
 
 
 def _chain(x: str, pairs: list[tuple[str, str]]) -> str:
-    """Replace whole phrases one after the other in text with doubled blanks."""
+    """Replace whole phrases one after the other in marked text."""
+    words = lambda text, between: between.join(f"chr(1) || '{w}' || chr(2)" for w in text.split())
     for a, b in pairs:
-        x = f"replace({x}, ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')"
+        put = words(b, " || ' ' || ") or "' '"
+        x = f"regexp_replace({x}, {words(a, ' || ' + repr(' +') + ' || ')}, {put}, 'g')"
     return x
 
 
@@ -523,56 +560,91 @@ def norm_cleanup(spark: SparkSession, d: str) -> DataFrame:
     return dataset(spark, d).where("input is not null").select("row_id", N.cleanup(F.col("input")).alias("cleaned"))
 
 
-_NO_FILL = _chain(_WORDS("input"), [(p, " ") for p in N.FILLER_PHRASES])
-_FILL_SQL = (
-    f"array_to_string(list_filter(string_split(trim(regexp_replace({_NO_FILL}, ' +', ' ', 'g')), ' '), lambda w: w NOT IN ({', '.join(repr(w) for w in N.FILLER_WORDS)}) AND w <> ''), ' ')"
-)
+_ALIASES = [(a, b) for a, b in sorted(N.PHRASE_ALIASES.items(), key=lambda x: -len(x[0])) if a != b and "'" not in a]
+_FILLERS = [(p, "") for p in N.FILLER_PHRASES]
+_STOP = ", ".join(repr(w) for w in N.FILLER_WORDS)
+_NO_FILLERS = lambda x: f"array_to_string(list_filter(string_split({Q.squeeze(_UNMARK(_chain(_MARK(x), _FILLERS)))}, ' '), lambda w: w NOT IN ({_STOP}) AND w <> ''), ' ')"
+_NO_ALIASES = lambda x: Q.squeeze(_UNMARK(_chain(_MARK(x), _ALIASES)))
+_ONCE_EACH = "array_to_string(list_transform(list_filter(list_zip(w, list_concat([NULL], w[1:len(w) - 1])), lambda z: z[2] IS NULL OR z[1] <> z[2]), lambda z: z[1]), ' ')"
+_PERSON = Q.squeeze(f"regexp_replace({_ONCE_EACH}, '\\bthe person the ([a-z ]+? person)\\b', 'the \\1', 'g')")
 
 
-@query(f"SELECT row_id, {_FILL_SQL} AS text FROM (SELECT row_id, {_CLEAN('input')} AS input FROM dataset_gpsr WHERE input IS NOT NULL)")
+def _no_repeats(source: str, text: str, name: str) -> str:
+    """``source`` with a column ``name``: ``text`` without repetitions."""
+    return f"(SELECT * EXCLUDE (w), {_PERSON} AS {name} FROM (SELECT *, string_split({Q.squeeze(text)}, ' ') AS w FROM {source}))"
+
+
+_CLEANED = f"(SELECT row_id, input, {_CLEAN('input')} AS c FROM dataset_gpsr WHERE input IS NOT NULL)"
+
+
+def _inputs(spark: SparkSession, d: str) -> DataFrame:
+    return spread(dataset(spark, d).select("row_id", "input")).where("input is not null")
+
+
+@query(f"SELECT row_id, {_NO_FILLERS('c')} AS text FROM {_CLEANED}")
 def norm_fillers(spark: SparkSession, d: str) -> DataFrame:
-    return dataset(spark, d).where("input is not null").select("row_id", N.remove_fillers(_plain(N.cleanup(F.col("input")))).alias("text"))
+    return _inputs(spark, d).select("row_id", N.remove_fillers(N.cleanup(F.col("input"))).alias("text"))
 
 
-@query(
-    f"""SELECT row_id, trim(regexp_replace(array_to_string(list_transform(list_filter(list_zip(w, list_concat([NULL], w[1:len(w) - 1])), lambda z: z[2] IS NULL OR z[1] <> z[2]), lambda z: z[1]), ' '),
-'\\bthe person the ([a-z ]+? person)\\b', 'the \\1', 'g')) AS text FROM (SELECT row_id, string_split({Q.squeeze("regexp_replace(" + _CLEAN("input") + ", '[^\\p{L}\\p{N}_]+', ' ', 'g')")}, ' ') AS w FROM dataset_gpsr WHERE input IS NOT NULL)"""
-)
+@query(f"SELECT row_id, text FROM {_no_repeats(_CLEANED, 'c', 'text')}")
 def norm_repetitions(spark: SparkSession, d: str) -> DataFrame:
-    return dataset(spark, d).where("input is not null").select("row_id", N.remove_repetitions(_plain(N.cleanup(F.col("input")))).alias("text"))
+    return _inputs(spark, d).select("row_id", N.remove_repetitions(N.cleanup(F.col("input"))).alias("text"))
 
 
-_ALIASES = [(a, b) for a, b in sorted(N.PHRASE_ALIASES.items(), key=lambda x: -len(x[0])) if a != b and "'" not in a]
+@query(f"SELECT row_id, {_NO_ALIASES('c')} AS text FROM {_CLEANED}")
+def norm_phrase_aliases(spark: SparkSession, d: str) -> DataFrame:
+    return _inputs(spark, d).select("row_id", N.replace_aliases(N.cleanup(F.col("input")), N.PHRASE_ALIASES).alias("text"))
 
 
-@query(f"SELECT row_id, trim(regexp_replace({_chain(_WORDS('input'), _ALIASES)}, ' +', ' ', 'g')) AS text FROM (SELECT row_id, {_CLEAN('input')} AS input FROM dataset_gpsr WHERE input IS NOT NULL)")
-def norm_phrase_aliases(spark: SparkSession, d: str) -> DataFrame:
-    return spread(dataset(spark, d).select("row_id", "input")).where("input is not null").select("row_id", N.replace_aliases(_plain(N.cleanup(F.col("input"))), N.PHRASE_ALIASES).alias("text"))
+def _aliases(spark: SparkSession, d: str) -> DataFrame:
+    is_name = F.col("group") == "names"
+    rows = catalog(spark, d).where("value is not null").select("group", "pos", is_name.alias("is_name"), F.when(is_name, F.replace("value", F.lit("_"), F.lit(" "))).otherwise(F.col("value")).alias("value"))
+    # names first, then the groups in order: a catalog is small, its aliases are counted when they are collected
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("is_name"), "group", "pos", "value"))
+    return N.entity_aliases(rows.select("value", "is_name", place.alias("place")))
 
 
-MAX_ENTITIES = 20_000  # names a normaliser may carry; its aliases travel with the plan of every task
+_KEY = Q.squeeze(f"replace(regexp_replace(translate(lower(value), '_-', '  '), '[^{_W}\\s'']', ' ', 'g'), '''', '')")
 
 
-def _entity_aliases(spark: SparkSession, d: str) -> dict[str, str]:
-    rows = catalog(spark, d).where("value is not null").orderBy("group", "pos", "value").limit(MAX_ENTITIES + 1).collect()
-    if len(rows) > MAX_ENTITIES:
-        raise ValueError(f"more than {MAX_ENTITIES} catalog entries")
-    return N.entity_aliases([r["value"].replace("_", " ") for r in rows if r["group"] == "names"], [r["value"] for r in rows if r["group"] != "names"])
+@query(
+    f"""WITH e0 AS (SELECT entry_group = 'names' AS is_name, CASE WHEN entry_group = 'names' THEN replace(entry_value, '_', ' ') ELSE entry_value END AS value, entry_group, pos FROM catalog_entries WHERE entry_value IS NOT NULL),
+e AS (SELECT *, row_number() OVER (ORDER BY is_name DESC, entry_group, pos NULLS FIRST, value) AS place, {_KEY} AS key FROM e0),
+s AS (SELECT place, key, CASE WHEN value IN (SELECT value FROM e WHERE is_name AND key <> '') THEN value ELSE key END AS canonical FROM e WHERE key <> ''),
+o AS (SELECT key, max_by(canonical, place) AS canonical, min(place) AS place FROM s GROUP BY key),
+c AS (SELECT key AS alias, canonical, place, 1 AS r FROM o UNION ALL SELECT replace(key, ' ', ''), canonical, place, 1 FROM o WHERE contains(key, ' ')
+UNION ALL SELECT left(key, length(key) - 1), canonical, place, 2 FROM o WHERE key LIKE '%s' AND length(key) > 4)
+SELECT alias, first(canonical ORDER BY r, CASE WHEN r = 2 THEN place ELSE -place END) AS canonical FROM c GROUP BY alias"""
+)
+def entity_alias_table(spark: SparkSession, d: str) -> DataFrame:
+    """What every alias of the catalog stands for."""
+    return _aliases(spark, d).select("alias", "canonical")
 
 
 @query()
-def norm_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    """The fuzzy entity step after the exact ones, on every case; tested against difflib itself."""
-    cleaned = N.replace_aliases(N.remove_repetitions(N.remove_fillers(N.cleanup(F.col("input")))), N.PHRASE_ALIASES)
-    scan = N.fuzzy_entities(_entity_aliases(spark, d))
-    rows = P.once(cases(spark, d).select("id", "input").where("input is not null"), cleaned=cleaned)
-    return rows.select("id", scan("cleaned").alias("text"))
+def norm_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Cleanup to the exact entity step, with all aliases of the catalog; tested against a chain of patterns."""
+    return N.normalize_rows(_inputs(spark, d), "input", N.alias_table(_aliases(spark, d)), out="text", fuzzy=False).select("row_id", "text")
 
 
 @query()
+def norm_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    """The whole chain, the fuzzy entity step after the exact one; tested against difflib itself."""
+    return N.normalize_rows(_inputs(spark, d), "input", N.alias_table(_aliases(spark, d)), out="text").select("row_id", "text")
+
+
+_STEP = lambda changed, name: f"CASE WHEN {changed} THEN '{name}' END"
+_CHANGES = ", ".join(_STEP(*x) for x in (("c <> input", "cleanup"), ("f <> c", "fillers"), ("r <> f", "repetitions"), ("a <> r", "phrases")))
+
+
+@query(
+    f"""WITH s1 AS (SELECT *, {_NO_FILLERS('c')} AS f FROM {_CLEANED}), s2 AS {_no_repeats('s1', 'f', 'r')}, s3 AS (SELECT *, {_NO_ALIASES('r')} AS a FROM s2)
+SELECT row_id, normalized, array_to_string(list_filter([{_CHANGES}], lambda x: x IS NOT NULL), ',') AS changes FROM {_no_repeats('s3', 'a', 'normalized')}"""
+)
 def norm_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The steps with fixed lists and which of them changed a text."""
     steps = N.normalize_steps(F.col("input"))
-    return spread(dataset(spark, d).select("row_id", "input")).where("input is not null").select("row_id", steps.alias("s")).select("row_id", "s.normalized", F.array_join("s.changes", ",").alias("changes"))
+    return _inputs(spark, d).select("row_id", steps.alias("s")).select("row_id", "s.normalized", F.array_join("s.changes", ",").alias("changes"))
 
 
 # ---- payloads ---------------------------------------------------------------------------------

@@ -52,18 +52,23 @@ def read_locations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
-    """Sections ``# Class plural (singular)`` with a one-column table each: groups ``objects`` (parent: plural), ``categories`` (parent: plural)."""
-    head = r"^#+\s*Class\s+([\w_]+)\s*\(([\w_]+)\)"
+    """Sections ``# Class plural (singular)`` with a one-column table each: groups ``objects`` (parent: plural), ``categories`` (parent: plural).
+
+    A table belongs to the heading above it; the heading of its column is no object.
+    """
     blank = lambda c: F.trim(F.replace(c, F.lit("_"), F.lit(" ")))
     lines = _lines(spark, path)
-    plural = F.when(F.col("line").rlike(head), blank(F.regexp_extract("line", head, 1)))
-    filled = lines.withColumn("plural", F.last(plural, ignorenulls=True).over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    cell = F.regexp_extract("line", r"^\s*\|\s*([\w_]+)\s*\|", 1)
-    objects = filled.where((cell != "") & (cell != "Objectname") & F.col("plural").isNotNull())
-    classes = filled.where(F.col("line").rlike(head))
-    return _entries(objects, "objects", blank(cell), F.col("plural")).unionByName(
-        _entries(classes, "categories", blank(F.regexp_extract("line", head, 2)), F.col("plural"))
+    words = F.split(F.trim(F.ltrim(F.trim("line"), F.lit("#"))), r"\s+")
+    headings = (
+        lines.where(F.startswith(F.trim("line"), F.lit("#")))
+        .select("pos", words.alias("words"))
+        .where((F.get("words", F.lit(0)) == "Class") & F.get("words", F.lit(2)).rlike(r"^\(.+\)"))
+        .select("pos", blank(F.get("words", F.lit(1))).alias("plural"), blank(F.substring_index(F.substring_index(F.get("words", F.lit(2)), ")", 1), "(", -1)).alias("singular"))
     )
+    # every row takes the last heading before it: two short lists of one file
+    rows = _table(spark, path).select(F.col("pos").alias("at"), F.get("cells", F.lit(0)).alias("cell")).where(~F.col("cell").isin("", "Objectname"))
+    above = rows.join(F.broadcast(headings), F.col("pos") < F.col("at")).groupBy("at", "cell").agg(F.max_by("plural", "pos").alias("plural")).withColumnRenamed("at", "pos")
+    return _entries(above, "objects", blank(F.col("cell")), F.col("plural")).unionByName(_entries(headings, "categories", F.col("singular"), F.col("plural")))
 
 
 def read_catalog(spark: SparkSession, folder: str, names: str = "names/names.md", rooms: str = "maps/room_names.md", locations: str = "maps/location_names.md", objects: str = "objects/objects.md") -> DataFrame:

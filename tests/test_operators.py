@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -100,8 +101,22 @@ def normalized(spark, text, **kw):
     return N.normalize_rows(df, "t", **kw).first().normalized_input if kw else df.select(N.normalize(F.col("t")).alias("t")).first().t
 
 
+def alias_dict(spark, names, entities, manual=None):
+    rows = [(v, True, i) for i, v in enumerate(names)] + [(v, False, len(names) + i) for i, v in enumerate(entities)]
+    df = spark.createDataFrame(rows, "value string, is_name boolean, place int")
+    more = None if manual is None else spark.createDataFrame(list(manual.items()), "alias string, canonical string")
+    return N.alias_table(N.entity_aliases(df, more))
+
+
+def test_aliases(spark):
+    got = alias_dict(spark, ["Robin Hood"], ["side tables", "Side_Table", "cups", "robin hood", "cup"], {"sidetable": "desk"})
+    assert got["robin hood"] == "robin hood" and got["robinhood"] == "robin hood", "the last entity of a key counts"
+    assert got["side tables"] == got["sidetables"] == "side tables" and got["side table"] == "side table", "a key goes before a singular"
+    assert got["sidetable"] == "desk" and got["cup"] == "cup" and "cup s" not in got
+
+
 def test_normalize(spark):
-    aliases = N.entity_aliases(["Robin"], ["kitchen", "living_room", "apple juice", "waving person"], {"kichen": "kitchen"})
+    aliases = alias_dict(spark, ["Robin"], ["kitchen", "living_room", "apple juice", "waving person"], {"kichen": "kitchen"})
     assert normalized(spark, "uh could you go to the the kichen and grab the apple joos", aliases=aliases) == "go to the kitchen and take the apple juice"
     assert normalized(spark, "please head to the living_room, then look around for robin!", aliases=aliases) == "go to the living room then find Robin"
     assert normalized(spark, "follow the person the waving person in the kitchn", aliases=aliases) == "follow the waving person in the kitchen"
@@ -113,11 +128,28 @@ def test_steps(spark):
     assert r.normalized == "go to the hall" and r.changes == ["cleanup", "fillers", "repetitions"]
 
 
-def test_fuzzy_against_difflib():
+def test_exact_against_a_chain():
+    """The table look-up replaces what a chain of patterns, the longest alias first, would replace."""
+    rng = random.Random(8)
+    words = ["red", "cup", "side", "table", "tables", "anna", "hall", "x"]
+    for _ in range(60):
+        phrases = {" ".join(rng.choice(words) for _ in range(rng.randrange(1, 4))) for _ in range(12)}
+        aliases = {p: rng.choice([p, p.upper(), " ".join(rng.choice(words) for _ in range(rng.randrange(1, 4)))]) for p in sorted(phrases)}
+        scan = N.EntityScan(aliases)
+        for _ in range(20):
+            text = " ".join(rng.choice([*words, "red, cup", "“hall”"]) for _ in range(rng.randrange(9)))
+            want = text
+            for a in sorted(aliases, key=lambda a: -len(a)):
+                if aliases[a] != a:
+                    want = re.sub(r"(?<!\w)" + r"\s+".join(a.split()) + r"(?!\w)", lambda _, a=a: aliases[a], want, flags=re.IGNORECASE)
+            assert scan.exact(text) == " ".join(want.split())
+
+
+def test_fuzzy_against_difflib(spark):
     rng = random.Random(5)
     words = ["kitchen", "living room", "refrigerator", "trash bin", "bedroom", "waving person", "office", "side tables"]
-    aliases = N.entity_aliases([], words)
-    scan = N.FuzzyEntities(aliases)
+    aliases = alias_dict(spark, [], words)
+    scan = N.EntityScan(aliases)
 
     def brute(span, n):
         best, score = None, 0.0
@@ -134,7 +166,7 @@ def test_fuzzy_against_difflib():
             w[rng.randrange(len(w))] = rng.choice("abcdefgh rst")
         span = " ".join("".join(w).split())
         assert scan.best(span, len(span.split())) == brute(span, len(span.split()))
-    assert scan.replace("go to the kichen and the livng room") == "go to the kitchen and the living room"
+    assert scan.fuzzy("go to the kichen and the livng room") == "go to the kitchen and the living room"
 
 
 def test_json(spark):

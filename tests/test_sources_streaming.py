@@ -60,7 +60,7 @@ def test_jsonl_and_benchmark(spark, tmp_path):
     assert records.load_benchmark(df.where("row_id = 0"), ["f"]).count() == 1
     assert records.read_jsonl(spark, str(path), max_rows=2).count() == 2
     problems = [r.problem for r in records.training_rows(df).orderBy("row_id").collect()]
-    assert problems[0] is None and problems[3].startswith("input") and problems[4].startswith("invalid goals")
+    assert problems[0] is None and problems[3] == "no input" and problems[4].startswith("bad plan")
     records.write_jsonl(df, str(tmp_path / "out"), ["input", "goals"], "row_id")
     assert spark.read.json(str(tmp_path / "out")).count() == 5
 
