@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from planloom.functions import goals as G
 from planloom.functions import validate as V
-from planloom.functions.columns import strip
+from planloom.functions.columns import let, strip
 from planloom.session import spread
 
 
@@ -73,13 +73,10 @@ def usable_payload(goals: Column, parsed: Column) -> Column:
 
 def source_row_problem(text: Column, goals: Column, parsed: Column) -> Column:
     """First problem of a training row, or null: input, goals, schema, marker."""
+    found = let(V.issues(goals, parsed), lambda i: F.when(F.size(i) > 0, F.concat(F.lit("bad plan: "), V.issue_text(F.get(i, F.lit(0))))))
     bad_list = goals.isNull() | (F.size(goals) == 0) | F.exists(goals, lambda g: g.isNull() | (strip(g) == ""))
-    return (
-        F.when(text.isNull() | (strip(text) == ""), "no input")
-        .when(bad_list, "no goals or a blank one")
-        .when(F.size(V.issues(goals, parsed)) > 0, F.concat(F.lit("bad plan: "), V.issue_text(F.get(V.issues(goals, parsed), F.lit(0)))))
-        .when(has_marker(text, F.array_join(goals, "")), "marker in the row")
-    )
+    early = F.when(text.isNull() | (strip(text) == ""), "no input").when(bad_list, "no goals or a blank one")
+    return F.coalesce(early, found, F.when(has_marker(text, F.array_join(goals, "")), "marker in the row"))
 
 
 def issue_rows(df: DataFrame, id_col: str, goals: str = "goals") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from planloom.functions import goals as G
 from planloom.functions import validate as V
 from planloom.functions.columns import strip, text_key
-from planloom.operators.plans import source_row_problem
+from planloom.operators.plans import once, source_row_problem
 from planloom.functions.payload import goals_json
 
 META = "struct<family:string,category:string,difficulty:string,surface_template_id:string,goal_signature:array<string>,entity_kinds:array<string>,slot_names:array<string>>"
@@ -31,7 +31,8 @@ def benchmark_problems(df: DataFrame) -> DataFrame:
     Ids must be present and unique, inputs present and unique but for case and white
     space, plans valid.  Uniqueness is counted, the copies are not gathered.
     """
-    rows = df.withColumns({"parsed": G.parse_goals(F.col("goals")), "__key": text_key(F.coalesce("input", F.lit("")))})
+    rows = once(df, parsed=G.parse_goals(F.col("goals")), __key=text_key(F.coalesce("input", F.lit(""))))
+    rows = once(rows, __bad=F.size(V.issues(F.col("goals"), F.col("parsed"))) > 0)
     ids = rows.groupBy("id").agg(F.count("*").alias("__ids"), F.min("row_id").alias("__id_first"))
     texts = rows.groupBy("__key").agg(F.min("row_id").alias("__text_first"))
     checked = rows.join(ids, rows["id"].eqNullSafe(ids["id"])).drop(ids["id"]).join(texts, "__key")
@@ -40,7 +41,7 @@ def benchmark_problems(df: DataFrame) -> DataFrame:
         .when((F.col("__ids") > 1) & (F.col("row_id") > F.col("__id_first")), "duplicate id")
         .when(F.col("__key") == "", "empty input")
         .when(F.col("row_id") > F.col("__text_first"), "duplicate input")
-        .when(F.size(V.issues(F.col("goals"), F.col("parsed"))) > 0, "invalid goals")
+        .when(F.col("__bad"), "invalid goals")
     )
     return checked.select("row_id", "id", problem.alias("problem")).where("problem is not null")
 
@@ -56,7 +57,7 @@ def load_benchmark(df: DataFrame, families: list[str] | None = None, max_rows: i
 
 def training_rows(df: DataFrame) -> DataFrame:
     """``row_id, input, response, family, category, problem``; ``problem`` is null for usable rows."""
-    rows = df.withColumn("parsed", G.parse_goals(F.col("goals")))
+    rows = once(df, parsed=G.parse_goals(F.col("goals")))
     return rows.select(
         "row_id",
         "input",

@@ -239,7 +239,7 @@ def test_grammar_bound(spark, monkeypatch):
     texts = spark.createDataFrame([("f", i, f"go to the {{room}} {i}") for i in range(3)], "family string, version int, template string")
     follow = spark.createDataFrame([], "key string, route string, template string")
     start = texts.selectExpr("template", "array('go({room})') as goals", "cast(map() as map<string,string>) as context")
-    for run in (lambda: GR.grammar_slots(texts, follow), lambda: GR.fill_all(start, words, ["room"]), lambda: GR.fill_first(start, words, ["room"])):
+    for run in (lambda: GR.grammar_slots(texts, follow), lambda: GR.fill_all(start, words, ["room"]), lambda: GR.followup_steps(texts, follow)):
         with pytest.raises(ValueError, match="more than 2"):
             run()
 
@@ -262,6 +262,8 @@ def test_generate(spark, grammar):
     out = GR.generate(*grammar, n_samples=60, person_ratio=0.5, seed=42)
     rows = P.with_issues(out).collect()
     assert len(rows) == 60 and all(r.valid for r in rows)
+    assert not any("{" in t for r in rows for t in [r.input, *r.goals])
+    assert all(f"find({r.input.split('meet ')[1].split()[0]}, kind=person)" in r.goals for r in rows if "meet " in r.input), "a follow-up and its plan share their values"
     assert len({r.input.casefold() for r in rows}) == 60
     assert Counter(r.category for r in rows) == {"people": 30, "objects": 30}
     spread = Counter(r.signature for r in rows if r.category == "people")
@@ -269,6 +271,35 @@ def test_generate(spark, grammar):
     assert {r.input for r in GR.generate(*grammar, n_samples=60, person_ratio=0.5, seed=42).collect()} == {r.input for r in rows}
 
 
+def test_followups(spark):
+    """Slots of a follow-up are apart from those around it, 'it' is handed on, categories part the options, a place without options goes."""
+    make = spark.createDataFrame
+    surfaces = make([("a", "objects", 1, "take the {obj} in the {room} and {FOLLOWUP:has}"), ("b", "people", 1, "go to the {room}{FOLLOWUP:has}")], "family string, category string, version int, template string")
+    plans = make([("a", ["take({obj})"], "{obj}"), ("b", ["go({room})"], None)], "family string, goals array<string>, obj string")
+    rows = [("has", "objects", "give", "give it to {name} in the {room}", ["go({room})", "deliver({it}, {name})"]), ("has", "objects", "drop", "drop it", ["drop({it}, in=trash)"])]
+    followups = make(rows, "key string, category string, route string, template string, goals array<string>")
+    got = {(r.family, *r.route): (r.template, r.goals, r.weight) for r in GR.forms(surfaces, followups, plans).collect()}
+    assert got["a", "give"] == ("take the {obj} in the {room} and give it to {name@1} in the {room@1}", ["take({obj})", "go({room@1})", "deliver({obj}, {name@1})"], 0.5)
+    assert got["a", "drop"][1] == ["take({obj})", "drop({obj}, in=trash)"] and got["b",] == ("go to the {room}", ["go({room})"], 1.0)
+    again = followups.unionByName(make([("has", "objects", "loop", "then {FOLLOWUP:has}", [])], followups.schema))
+    with pytest.raises(ValueError, match="leads back"):
+        GR.forms(surfaces, again, plans)
+
+
+def test_late_slots(spark):
+    """A second slot takes the first value that is not part of the text, or the first of all."""
+    make = spark.createDataFrame
+    rows = make([("x", "from the {loc} to the {loc2}", ["go({loc})", "go({loc2})"]), ("y", "{loc2} desk sofa desk", [])], "k string, template string, goals array<string>").withColumn("context", F.create_map().cast("map<string,string>"))
+    words = make([("loc", 1, "desk"), ("loc", 2, "sofa")], "slot string, pos int, value string")
+    got = {r.k: (r.template, r.goals) for r in GR.fill(rows, words, "k").collect()}
+    assert got == {"x": ("from the desk to the sofa", ["go(desk)", "go(sofa)"]), "y": ("desk desk sofa desk", [])}
+
+
+def test_singular(spark):
+    df = spark.createDataFrame([("waving persons",), ("red coats",), ("personship",)], "t string")
+    assert [r.t for r in df.select(GR.singular(F.col("t"), {"persons": "person", "coats": "coat"}).alias("t")).collect()] == ["waving person", "red coat", "personship"]
+
+
 def test_weighted_pick(spark):
     choices = spark.createDataFrame([("k", "a", 8.0), ("k", "b", 2.0)], "key string, choice string, weight double")
     draws = spark.range(4000).withColumn("key", F.lit("k"))
