@@ -34,6 +34,12 @@ def extract_goals(text: Column) -> Column:
     return F.from_json(json_block(text), "goals array<string>", {"mode": "PERMISSIVE"})["goals"]
 
 
+def prediction_payload(answer: Column) -> Column:
+    """JSON text of what an answer holds under ``prediction``, else the answer itself; an empty object for what is no object."""
+    inside = F.get_json_object(answer, "$.prediction")
+    return F.coalesce(inside, F.when(F.from_json(answer, "map<string,string>").isNotNull() & F.startswith(F.trim(answer), F.lit("{")), answer), F.lit("{}"))
+
+
 def cut_at(text: Column, stop: str) -> Column:
     """The text before the first stop token."""
     return F.substring_index(text, stop, 1)

@@ -15,24 +15,24 @@ def hash_rank(seed: int | str, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def dedup_status_counts(df: DataFrame, id_col: str, text: str = "input", goals: str = "goals", valid: Column | None = None) -> DataFrame:
-    """``status, n``: how many rows :func:`dedup_status` would call what, by two aggregations and no join.
+def attempt_status_counts(df: DataFrame, id_col: str, refused: Column, text: str = "input", goals: str = "goals") -> DataFrame:
+    """``status, n`` of attempts to add rows to a set, in the order of their ids, by two aggregations and no join.
 
+    ``refused`` names why a row is not even compared (an error of its generation, an invalid
+    plan, another signature than asked for), null for the others: of these, the first row
+    of a text is 'added', rows with its plan are 'duplicate', all others 'label_conflict'.
     Rows are counted per text and plan first (128-bit hashes of both, combined before the
-    shuffle), then per text: the plan of the first row has one row added, its others are
-    duplicates, all other plans are label conflicts.
+    shuffle), then per text.
     """
-    ok = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
+    taken = F.col("refused").isNull()
     key = F.md5(text_key(F.coalesce(F.col(text), F.lit(""))))
     plan = F.when(F.col(goals).isNotNull(), F.md5(F.to_json(F.struct(goals))))
-    pairs = df.select(ok.alias("ok"), F.when(ok, key).alias("k"), F.when(ok, plan).alias("g"), F.col(id_col).alias("id")).groupBy("ok", "k", "g").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    texts = pairs.groupBy("ok", "k").agg(F.sum("n").alias("n"), F.min_by("n", "id").alias("of_first"))
-    counts = texts.select(
-        F.explode(
-            F.when(F.col("ok"), F.array(*[F.struct(F.lit(x).alias("status"), c.cast("long").alias("n")) for x, c in (("added", F.lit(1)), ("duplicate", F.col("of_first") - 1), ("label_conflict", F.col("n") - F.col("of_first")))]))
-            .otherwise(F.array(F.struct(F.lit("invalid_label").alias("status"), F.col("n").alias("n"))))
-        ).alias("c")
-    )
+    rows = df.select(refused.alias("refused"), key.alias("k"), plan.alias("g"), F.col(id_col).alias("id"))
+    pairs = rows.select("refused", F.when(taken, F.col("k")).alias("k"), F.when(taken, F.col("g")).alias("g"), "id").groupBy("refused", "k", "g").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    texts = pairs.groupBy("refused", "k").agg(F.sum("n").alias("n"), F.min_by("n", "id").alias("of_first"))
+    parts = (("added", F.lit(1)), ("duplicate", F.col("of_first") - 1), ("label_conflict", F.col("n") - F.col("of_first")))
+    compared = F.array(*[F.struct(F.lit(x).alias("status"), c.cast("long").alias("n")) for x, c in parts])
+    counts = texts.select(F.explode(F.when(taken, compared).otherwise(F.array(F.struct(F.col("refused").alias("status"), F.col("n").alias("n"))))).alias("c"))
     return counts.groupBy("c.status").agg(F.sum("c.n").alias("n")).where("n > 0")
 
 

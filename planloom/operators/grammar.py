@@ -257,6 +257,16 @@ def enumerate_variants(surfaces: DataFrame, followups: DataFrame, plans: DataFra
     return filled.select("family", "category", "surface_template_id", "route", fix_article(F.col("template")).alias("input"), "goals", "context")
 
 
+def variant_dump(surfaces: DataFrame, followups: DataFrame, plans: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The variants of every family as commands to people, to objects and mixed, with the features of their plans; invalid plans are left out."""
+    from planloom.operators.plans import enrich
+
+    kinds = surfaces.sparkSession.createDataFrame([("people",), ("objects",), (None,)], "category string")
+    every = surfaces.drop("category").distinct().crossJoin(F.broadcast(kinds))  # three rows
+    rows = enumerate_variants(every, followups, plans, vocabulary)
+    return enrich(rows.withColumn("category", F.coalesce("category", F.lit("mixed"))).drop("context"))
+
+
 def weighted_pick(draws: DataFrame, choices: DataFrame, seed: int | str, key: Column, by: str = "key") -> DataFrame:
     """One choice per draw with probability by weight: the hash of the draw falls into the cumulative weights.
 

@@ -121,6 +121,12 @@ def latency_stats(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def throughput(scored: DataFrame) -> DataFrame:
+    """One row: measured cases, their seconds and cases per second; 0 where nothing was measured."""
+    seconds = F.coalesce(F.sum("elapsed_ms"), F.lit(0.0)) / 1000
+    return scored.agg(F.count("elapsed_ms").alias("n"), seconds.alias("seconds"), safe_ratio(F.count("elapsed_ms"), seconds).alias("per_second"))
+
+
 def latency_histogram(scored: DataFrame) -> DataFrame:
     """Equal-width bins: a quarter of the values, at least 4 and at most 12; the maximum belongs to the last bin."""
     values = scored.where("elapsed_ms is not null").select(F.col("elapsed_ms").alias("v"))

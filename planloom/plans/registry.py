@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from planloom.functions import goals as G
 from planloom.functions import normalize as N
 from planloom.functions.columns import text_key
-from planloom.functions.payload import chat_messages, extract_goals, goals_json
+from planloom.functions.payload import chat_messages, extract_goals, goals_json, prediction_payload
 from planloom.operators import balance as B
 from planloom.operators import catalog as C
 from planloom.operators import plans as P
@@ -215,7 +215,26 @@ SELECT CASE WHEN NOT ok THEN 'invalid_label' WHEN row_id = first_id THEN 'added'
 )
 def dedup_status_counts(spark: SparkSession, d: str) -> DataFrame:
     rows = P.with_issues(dataset(spark, d).select("row_id", "input", "goals"))
-    return B.dedup_status_counts(rows, "row_id", valid=F.col("valid"))
+    return B.attempt_status_counts(rows, "row_id", F.when(~F.col("valid"), "invalid_label"))
+
+
+_MARKED = "(input IS NULL OR trim(input) = '' OR contains(input, 'WARNING') OR contains(input, 'None') OR contains(input, '{') OR contains(input, '}'))"
+
+
+@query(
+    f"""{VALID_SQL}, sig AS (SELECT id, list(name ORDER BY i) AS s FROM vp GROUP BY id),
+base AS (SELECT row_id, goals, {KEY_SQL} AS k, CASE WHEN {_MARKED} THEN 'generation_error' WHEN sig.id IS NULL THEN 'invalid_label' WHEN meta.goal_signature IS NOT NULL AND meta.goal_signature <> s THEN 'signature_mismatch' END AS refused
+ FROM dataset_gpsr LEFT JOIN sig ON row_id = sig.id),
+f AS (SELECT *, first_value(row_id) OVER w AS first_id, first_value(goals) OVER w AS first_goals FROM base WINDOW w AS (PARTITION BY k, refused IS NULL ORDER BY row_id))
+SELECT coalesce(refused, CASE WHEN row_id = first_id THEN 'added' WHEN {SAME} THEN 'duplicate' ELSE 'label_conflict' END) AS status, count(*) AS n FROM f GROUP BY 1"""
+)
+def attempt_status_counts(spark: SparkSession, d: str) -> DataFrame:
+    """All six outcomes of adding the rows one by one, the stored signature as the one asked for."""
+    rows = P.with_issues(dataset(spark, d).select("row_id", "input", "goals", F.col("meta.goal_signature").alias("wanted")))
+    broken = F.col("input").isNull() | (F.trim("input") == "") | P.has_marker(F.col("input"))
+    other = F.col("wanted").isNotNull() & (F.col("wanted") != G.goal_signature(F.col("parsed")))
+    refused = F.when(broken, "generation_error").when(~F.col("valid"), "invalid_label").when(other, "signature_mismatch")
+    return B.attempt_status_counts(rows, "row_id", refused)
 
 
 @query(
@@ -482,6 +501,11 @@ def perfect_gate(spark: SparkSession, d: str) -> DataFrame:
     return S.perfect_gate(scored(spark, d))
 
 
+@query(f"{SCORED_SQL} SELECT count(elapsed_ms) AS n, round(coalesce(sum(elapsed_ms), 0) / 1000, 3) AS seconds, round(coalesce(count(elapsed_ms) / nullif(sum(elapsed_ms) / 1000, 0), 0), 6) AS per_second FROM sc")
+def throughput(spark: SparkSession, d: str) -> DataFrame:
+    return S.throughput(scored(spark, d)).select("n", F.round("seconds", 3).alias("seconds"), F.round("per_second", 6).alias("per_second"))
+
+
 # ---- catalogs ---------------------------------------------------------------------------------
 
 CATALOG_SQL = f"""WITH k AS (SELECT entry_group AS grp, entry_value AS value, {Q.squeeze(Q.fold("replace(entry_value, '_', ' ')"))} AS key FROM catalog_entries WHERE entry_value IS NOT NULL)"""
@@ -689,6 +713,14 @@ def json_extract(spark: SparkSession, d: str) -> DataFrame:
     return cases(spark, d).select("id", F.array_join(extract_goals(output), ";").alias("goals"))
 
 
+@query("SELECT prediction_id, array_to_string(prediction.goals, ';') AS wrapped, array_to_string(prediction.goals, ';') AS bare FROM cached_predictions")
+def prediction_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Goals out of an answer as JSON, whether its payload is wrapped or is the answer itself."""
+    goals = lambda text: F.array_join(F.from_json(prediction_payload(text), "goals array<string>")["goals"], ";")
+    rows = table(spark, d, "cached_predictions")
+    return rows.select("prediction_id", goals(F.to_json(F.struct("prediction"))).alias("wrapped"), goals(F.to_json("prediction")).alias("bare"))
+
+
 @query(f"SELECT id, {Q.text_key('input')} AS key FROM model_evaluation_cases WHERE input IS NOT NULL")
 def dedup_keys(spark: SparkSession, d: str) -> DataFrame:
     return cases(spark, d).where("input is not null").select("id", text_key(F.col("input")).alias("key"))

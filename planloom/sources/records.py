@@ -74,6 +74,14 @@ def write_jsonl(df: DataFrame, path: str, columns: list[str], order: str | None
     rows.select(F.to_json(F.struct(*columns)).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_checked(df: DataFrame, path: str, columns: list[str], problem: str = "problem", order: str | None = None) -> None:
+    """:func:`write_jsonl` behind a gate: rows with a ``problem`` raise and nothing is written."""
+    bad = df.where(F.col(problem).isNotNull()).groupBy(problem).agg(F.count("*").alias("n")).orderBy(F.desc("n"), problem).limit(5).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r['n']} x {r[problem]}" for r in bad))
+    write_jsonl(df, path, columns, order)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

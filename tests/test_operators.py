@@ -177,6 +177,12 @@ def test_json(spark):
     assert [r.g for r in rows] == [["go(hall)"], None, None, None, None, ["a"]]
 
 
+def test_prediction_payload(spark):
+    texts = ['{"prediction": {"goals": ["a"]}}', '{"goals": ["a"]}', "text", None, "[1]", '{"prediction": null}']
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.p for r in df.select(Y.prediction_payload(F.col("t")).alias("p")).collect()] == ['{"goals":["a"]}', '{"goals": ["a"]}', "{}", "{}", "{}", '{"prediction": null}']
+
+
 def test_training_arrays(spark):
     r = spark.range(1).select(
         Y.training_arrays(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3), F.lit(4)), 3).alias("t"),
@@ -286,6 +292,21 @@ def test_followups(spark):
         GR.forms(surfaces, again, plans)
 
 
+def test_variant_dump(spark, grammar):
+    surfaces, followups, plans, vocabulary, _ = grammar
+    rows = GR.variant_dump(surfaces, followups.withColumn("category", F.lit("people")), plans, vocabulary).collect()
+    n = Counter((r.family, r.category) for r in rows)
+    assert n["visit", "people"] == n["visit", "mixed"] == 6 and n["visit", "objects"] == 3 and n["fetch", "mixed"] == 3
+    assert all(r.goal_signature for r in rows) and not any("{" in r.input for r in rows)
+
+
+def test_attempts(spark):
+    rows = [(1, "go", ["a"], None), (2, "GO", ["a"], None), (3, "go ", ["b"], None), (4, "go", ["a"], "generation_error"), (5, "x", None, None), (6, "x", None, None), (7, "y", ["c"], "signature_mismatch")]
+    df = spark.createDataFrame(rows, "id long, input string, goals array<string>, why string")
+    got = {r.status: r.n for r in B.attempt_status_counts(df, "id", F.col("why")).collect()}
+    assert got == {"added": 2, "duplicate": 2, "label_conflict": 1, "generation_error": 1, "signature_mismatch": 1}
+
+
 def test_late_slots(spark):
     """A second slot takes the first value that is not part of the text, or the first of all."""
     make = spark.createDataFrame

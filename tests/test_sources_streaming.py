@@ -78,3 +78,12 @@ def test_stream(spark, tmp_path):
         q.stop()
     got = {r.normalized_input: r.valid for r in spark.sql("select * from checked").collect()}
     assert got == {"go there": True, "take it": False}
+
+
+def test_gate_before_the_sink(spark, tmp_path):
+    df = spark.createDataFrame([(1, "go", None), (2, None, "no input")], "row_id long, input string, problem string")
+    with pytest.raises(ValueError, match="1 x no input"):
+        records.write_checked(df, str(tmp_path / "out"), ["row_id", "input"])
+    assert not (tmp_path / "out").exists()
+    records.write_checked(df.where("problem is null"), str(tmp_path / "out"), ["row_id", "input"])
+    assert spark.read.json(str(tmp_path / "out")).count() == 1
