@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from planloom.llm.graph import components
 from planloom.session import cut
-from planloom.skew import lookup_join, salted_rank
+from planloom.skew import lookup_join, salt_of, salted_rank
 
 SPLITS = {"train": 80, "validation": 10, "test": 10}
 SALT_GROUPS = 250_000  # components of one bundle that one task numbers
@@ -208,10 +208,14 @@ def assign_splits(df: DataFrame, id_col: str, keys: dict[str, Column], label: Co
     return tied.select(F.col("__id").alias(id_col), "component", "split")
 
 
+PAIR_SALTS = 16
+
+
 def tied_pairs(members: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    """``a, b``: the different keys of one column that the plan holds in one split for being tied."""
+    """``a, b``: the different keys of one column that the plan holds in one split for being tied; the pairs of a large component by many tasks."""
     tag = f"{key}:"
     of = members.where(F.col("node").startswith(tag)).join(groups.select("component", "split"), "component")
     of = of.select("component", F.substring("node", len(tag) + 1, 1 << 30).alias("k"))
-    left, right = of.withColumnRenamed("k", "a"), of.withColumnRenamed("k", "b")
-    return left.join(right, "component").where("a < b").select("a", "b")
+    left = of.select("component", F.col("k").alias("a"), salt_of("k", salts=PAIR_SALTS).alias("salt"))
+    right = of.select("component", F.col("k").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(PAIR_SALTS - 1))).alias("salt"))
+    return left.join(right, ["component", "salt"]).where("a < b").select("a", "b")
