@@ -84,33 +84,47 @@ def issue_rows(df: DataFrame, id_col: str, goals: str = "goals") -> DataFrame:
     return with_issues(df, goals).select(id_col, F.explode("issues").alias("i")).select(id_col, "i.code", "i.message", "i.goal_index")
 
 
-def audit(df: DataFrame, family: Column, template: Column, goals: str = "goals") -> DataFrame:
-    """The audit report, long: ``section, key1, key2, value``.
+def audit(df: DataFrame, family: Column, template: Column, goals: str = "goals", sections: tuple[str, ...] | None = None) -> DataFrame:
+    """The audit report, long: ``section, key1, key2, value``; all sections or the ones asked for.
 
-    The rows are parsed and validated once and turned into the report's counters inside
-    the row; one aggregation with map-side combine adds them up.
+    The rows are parsed and validated once, if a section needs it, and turned into the
+    report's counters inside the row; one aggregation with map-side combine adds them up.
     """
-    checked = with_issues(df.withColumns({"__family": family, "__template": template}), goals)
+    want = lambda *names: sections is None or not set(names).isdisjoint(sections)
+    named = df.withColumns({"__family": family, "__template": template})
+    of_plans = ("entity_kinds", "goal_signatures", "family_goal_signatures", "slot_coverage")
+    checked = with_issues(named, goals) if want("totals", "issues", *of_plans) else named
     p = F.col("parsed")
-    entry = lambda section, k1, k2="": F.struct(F.lit(section).alias("section"), (F.lit(k1) if isinstance(k1, str) else k1).alias("key1"), (F.lit(k2) if isinstance(k2, str) else k2).alias("key2"))
-    none = F.array().cast("array<struct<section:string,key1:string,key2:string>>")
+    kind = "array<struct<section:string,key1:string,key2:string>>"
+    none = F.array().cast(kind)
+
+    def entry(section: str, k1: Column | str, k2: Column | str = "") -> Column:
+        column = lambda k: F.lit(k) if isinstance(k, str) else k
+        return F.struct(F.lit(section).alias("section"), column(k1).alias("key1"), column(k2).alias("key2"))
+
     signature = F.array_join(G.goal_signature(p), " -> ")
-    rows = F.array(
-        entry("totals", "rows"),
-        entry("totals", F.when(F.col("valid"), "valid").otherwise("invalid")),
-        entry("families", F.col("__family")),
-    )
-    of_template = F.when(F.col("__template") != "", F.array(entry("surface_templates", F.col("__family"), F.col("__template")))).otherwise(none)
-    of_issues = F.transform("issues", lambda i: entry("issues", i["code"]))
-    of_valid = F.when(
-        F.col("valid"),
-        F.concat(
-            F.transform(G.entity_kinds(p), lambda k: entry("entity_kinds", k)),
-            F.array(entry("goal_signatures", signature), entry("family_goal_signatures", F.col("__family"), signature)),
-            F.transform(F.map_keys(G.semantic_slots(p)), lambda k: entry("slot_coverage", k)),
-        ),
-    ).otherwise(none)
-    counters = F.concat(rows.cast("array<struct<section:string,key1:string,key2:string>>"), F.coalesce(of_template, none), of_issues, of_valid)
+    valid_parts = [
+        build()
+        for name, build in (
+            ("entity_kinds", lambda: F.transform(G.entity_kinds(p), lambda k: entry("entity_kinds", k))),
+            ("goal_signatures", lambda: F.array(entry("goal_signatures", signature))),
+            ("family_goal_signatures", lambda: F.array(entry("family_goal_signatures", F.col("__family"), signature))),
+            ("slot_coverage", lambda: F.transform(F.map_keys(G.semantic_slots(p)), lambda k: entry("slot_coverage", k))),
+        )
+        if want(name)
+    ]
+    parts = []
+    if want("totals"):
+        parts.append(F.array(entry("totals", "rows"), entry("totals", F.when(F.col("valid"), "valid").otherwise("invalid"))))
+    if want("families"):
+        parts.append(F.array(entry("families", F.col("__family"))))
+    if want("surface_templates"):
+        parts.append(F.when(F.col("__template") != "", F.array(entry("surface_templates", F.col("__family"), F.col("__template")))))
+    if want("issues"):
+        parts.append(F.transform("issues", lambda i: entry("issues", i["code"])))
+    if valid_parts:
+        parts.append(F.when(F.col("valid"), F.concat(*[c.cast(kind) for c in valid_parts])))
+    counters = F.concat(none, *[F.coalesce(c.cast(kind), none) for c in parts])
     return checked.select(F.explode(counters).alias("c")).groupBy("c.section", "c.key1", "c.key2").agg(F.count("*").alias("value"))
 
 

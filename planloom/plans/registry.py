@@ -186,7 +186,7 @@ def audit_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _section(name: str, section: str) -> None:
-    QUERIES[name] = lambda spark, d: audit_report(spark, d).where(F.col("section") == section).drop("section")
+    QUERIES[name] = lambda spark, d: P.audit(dataset(spark, d), _family(), F.col("surface_template_id"), sections=(section,)).drop("section")
     ORACLES[name] = f"SELECT key1, key2, value FROM ({AUDIT_SQL}) WHERE section = '{section}'"
 
 
