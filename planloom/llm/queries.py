@@ -115,10 +115,10 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_members(spark: SparkSession, d: str) -> DataFrame:
-    """Every family and template with its component, its split and the rows of the component."""
+    """Every family and template with its component and the rows of the component."""
     members, groups, _ = splits.plan_groups(table(spark, d, "dataset_gpsr"), **_p5_args())
     kind = F.substring_index("node", ":", 1)
-    return members.join(groups, "component").select(kind.alias("key"), F.expr("substring(node, instr(node, ':') + 1)").alias("value"), "component", "n_rows", "split")
+    return members.join(groups, "component").select(kind.alias("key"), F.expr("substring(node, instr(node, ':') + 1)").alias("value"), "component", "n_rows")
 
 
 def p5_splits_check(spark: SparkSession, d: str) -> DataFrame:
@@ -233,8 +233,19 @@ reach(a, b) AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN ed
 SELECT a AS family_a, b AS family_b FROM reach WHERE a < b"""
 
 
+# Components by the closure over families; a template of no family is a component of its own.
+P5_MEMBERS_SQL = P5_SQL.split("SELECT a AS family_a")[0] + """, keyed AS (SELECT f, CASE WHEN regexp_full_match(t, '\\p{L}+:v[0-9]+') THEN t END AS t FROM (SELECT nullif(f, '') AS f, t FROM all_rows)),
+fc AS (SELECT f, least(f, coalesce((SELECT min(b) FROM reach WHERE a = f), f)) AS c FROM (SELECT DISTINCT f FROM keyed WHERE f IS NOT NULL)),
+tc AS (SELECT t, coalesce('family:' || min(c), 'template:' || t) AS c FROM (SELECT DISTINCT f, t FROM keyed WHERE t IS NOT NULL) LEFT JOIN fc USING (f) GROUP BY t),
+members AS (SELECT 'family' AS key, f AS value, 'family:' || c AS component FROM fc UNION ALL SELECT 'template', t, c FROM tc),
+sizes AS (SELECT m.component, count(*) AS n_rows FROM keyed JOIN members m ON m.key = CASE WHEN f IS NULL THEN 'template' ELSE 'family' END AND m.value = coalesce(f, t) GROUP BY 1)
+SELECT key, value, component, n_rows FROM members JOIN sizes USING (component)"""
+P5_MEMBERS_SQL = P5_MEMBERS_SQL.replace("WITH RECURSIVE pairs AS", f"WITH RECURSIVE all_rows AS (SELECT {_TRIM('family')} AS f, {_TRIM('surface_template_id')} AS t FROM dataset_gpsr), pairs AS")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_members": P5_MEMBERS_SQL,
         "p3_sample_check": """SELECT grain, count(*) // 5 AS n_rows, 0 AS n_repeated, 0 AS n_labels_off FROM dataset_gpsr, (VALUES ('family'), ('surface_template_id')) AS g(grain) GROUP BY grain""",
         "p5_splits_check": "SELECT count(*) AS n_rows, 0 AS n_quotas_missed, 0 AS n_torn_keys FROM dataset_gpsr",
         "p7_containers_check": "SELECT count(*) AS n_documents, 0 AS n_lost, 0 AS n_needlessly_cut, 0 AS n_overfull, false AS wasteful, 0 AS n_unused_numbers FROM documents",

@@ -136,7 +136,7 @@ def test_draw_in_many_rounds(spark, monkeypatch):
     assert Counter(r.label for r in drawn) == {"a": 18, "b": 42} and len({r.row_id for r in drawn}) == 60
 
 
-@pytest.mark.parametrize("name", ["p3_gaps", "p3_found", "p3_sample_check", "p4_terms", "p4_found", "p5_found", "p5_splits_check", "p7_containers_check"])
+@pytest.mark.parametrize("name", ["p3_gaps", "p3_found", "p3_sample_check", "p4_terms", "p4_found", "p5_found", "p5_members", "p5_splits_check", "p7_containers_check"])
 def test_sql(spark, name):
     con = duckdb.connect()
     for t in ("dataset_gpsr", "model_evaluation_cases", "sample_targets", "documents"):
