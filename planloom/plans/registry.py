@@ -631,23 +631,38 @@ def _aliases(spark: SparkSession, d: str) -> DataFrame:
 _KEY = Q.squeeze(f"replace(regexp_replace(translate(lower(value), '_-', '  '), '[^{_W}\\s'']', ' ', 'g'), '''', '')")
 
 
-@query(
-    f"""WITH e0 AS (SELECT entry_group = 'names' AS is_name, CASE WHEN entry_group = 'names' THEN replace(entry_value, '_', ' ') ELSE entry_value END AS value, entry_group, pos FROM catalog_entries WHERE entry_value IS NOT NULL),
+ALIAS_SQL = f"""e0 AS (SELECT entry_group = 'names' AS is_name, CASE WHEN entry_group = 'names' THEN replace(entry_value, '_', ' ') ELSE entry_value END AS value, entry_group, pos FROM catalog_entries WHERE entry_value IS NOT NULL),
 e AS (SELECT *, row_number() OVER (ORDER BY is_name DESC, entry_group, pos NULLS FIRST, value) AS place, {_KEY} AS key FROM e0),
 s AS (SELECT place, key, CASE WHEN value IN (SELECT value FROM e WHERE is_name AND key <> '') THEN value ELSE key END AS canonical FROM e WHERE key <> ''),
 o AS (SELECT key, max_by(canonical, place) AS canonical, min(place) AS place FROM s GROUP BY key),
 c AS (SELECT key AS alias, canonical, place, 1 AS r FROM o UNION ALL SELECT replace(key, ' ', ''), canonical, place, 1 FROM o WHERE contains(key, ' ')
-UNION ALL SELECT left(key, length(key) - 1), canonical, place, 2 FROM o WHERE key LIKE '%s' AND length(key) > 4)
-SELECT alias, first(canonical ORDER BY r, CASE WHEN r = 2 THEN place ELSE -place END) AS canonical FROM c GROUP BY alias"""
-)
+UNION ALL SELECT left(key, length(key) - 1), canonical, place, 2 FROM o WHERE key LIKE '%s' AND length(key) > 4),
+alias_table AS (SELECT alias, first(canonical ORDER BY r, CASE WHEN r = 2 THEN place ELSE -place END) AS canonical, min(place) AS place FROM c GROUP BY alias)"""
+
+
+@query(f"WITH {ALIAS_SQL} SELECT alias, canonical FROM alias_table")
 def entity_alias_table(spark: SparkSession, d: str) -> DataFrame:
     """What every alias of the catalog stands for."""
     return _aliases(spark, d).select("alias", "canonical")
 
 
-@query()
+# The aliases of a text are found among its runs of words and replaced one by one, the longest first.
+_RUNS = "flatten(list_transform(range(1, 9), lambda n: list_transform(range(1, greatest(len(w) - n + 2, 1)), lambda i: array_to_string(w[i:i + n - 1], ' '))))"
+_MARKED_TEXT = lambda x: f"chr(1) || replace({x}, ' ', chr(2) || ' ' || chr(1)) || chr(2)"
+_MARKED_ALIAS = "chr(1) || replace(alias, ' ', chr(2) || ' +' || chr(1)) || chr(2)"
+
+
+@query(
+    f"""WITH RECURSIVE {ALIAS_SQL}, al AS (SELECT alias, canonical, row_number() OVER (ORDER BY length(alias) DESC, place, alias) AS rk FROM alias_table),
+q1 AS (SELECT *, {_NO_FILLERS('c')} AS f FROM {_CLEANED}), q2 AS {_no_repeats('q1', 'f', 'r')}, q3 AS (SELECT row_id, {_NO_ALIASES('r')} AS t FROM q2),
+rec AS (SELECT row_id, t, 0::BIGINT AS done FROM q3
+UNION ALL SELECT row_id, {Q.squeeze(_UNMARK(f"regexp_replace({_MARK('t')}, {_MARKED_ALIAS}, {_MARKED_TEXT('canonical')}, 'gi')"))}, m.rk
+FROM (SELECT row_id, t, min(rk) AS rk FROM (SELECT row_id, t, done, unnest({_RUNS}) AS g FROM (SELECT row_id, t, done, regexp_extract_all(lower(t), '[{_W}]+') AS w FROM rec)) JOIN al ON alias = g AND rk > done AND alias <> canonical GROUP BY row_id, t) m JOIN al USING (rk)),
+fin AS (SELECT row_id, arg_max(t, done) AS t FROM rec GROUP BY row_id)
+SELECT row_id, text FROM {_no_repeats('fin', 't', 'text')}"""
+)
 def norm_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Cleanup to the exact entity step, with all aliases of the catalog; tested against a chain of patterns."""
+    """Cleanup to the exact entity step, with all aliases of the catalog."""
     return N.normalize_rows(_inputs(spark, d), "input", N.alias_table(_aliases(spark, d)), out="text", fuzzy=False).select("row_id", "text")
 
 
