@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,30 +82,28 @@ def hierarchical_quota(strata: DataFrame, n_samples: int, person_ratio: float) -
 
 
 FILL_SALTS = 16
-MAX_STRATA = 100_000  # strata of a balanced build; their quotas are solved on the driver
+def raise_levels(items: DataFrame, by: list[str], order: list[str], base: str, cap: str, goal: str, name: str) -> DataFrame:
+    """Add ``name``: in every group the lowest ``base`` are raised to a common level, none above its ``cap``, until the sum is ``goal`` (or all are full).
 
-
-def raise_level(base: list[int], caps: list[int], goal: int) -> list[int]:
-    """Raise the lowest of ``base`` to a common level, none above its cap, until the sum is ``goal`` (or all are full).
-
-    A remainder below one step for each goes to the first open ones.  The level is found by bisection.
+    A remainder below one step for each goes to the first open items in ``order``.  The sum
+    is piecewise linear in the level: it gets steeper where an item starts to rise and
+    flatter where one is full, so the level is found by running sums over these places.
     """
-    low, top = np.minimum(base, caps).astype(np.int64), np.array(caps, dtype=np.int64)
-    goal = min(goal, int(top.sum()))
-    at_level = lambda x: np.minimum(top, np.maximum(low, x))
-    if goal <= low.sum():
-        return low.tolist()
-    below, above = int(low.min()), int(top.max()) + 1
-    while above - below > 1:
-        middle = (below + above) // 2
-        if at_level(middle).sum() <= goal:
-            below = middle
-        else:
-            above = middle
-    now = at_level(below)
-    open_ = np.flatnonzero((now == below) & (now < top))
-    now[open_[: goal - int(now.sum())]] += 1
-    return now.tolist()
+    low = F.least(base, cap)
+    places = items.select(*by, low.alias("__p"), F.lit(1).alias("__d")).unionByName(items.select(*by, F.col(cap).alias("__p"), F.lit(-1).alias("__d")))
+    totals = items.groupBy(*by).agg(F.sum(low).alias("__s0"), F.least(F.max(goal), F.sum(cap)).alias("__g"))
+    along = Window.partitionBy(*by).orderBy("__p")
+    steps = places.groupBy(*by, "__p").agg(F.sum("__d").alias("__d")).withColumn("__slope", F.sum("__d").over(along))
+    steps = steps.withColumn("__more", F.coalesce(F.lag("__slope").over(along) * (F.col("__p") - F.lag("__p").over(along)), F.lit(0)))
+    reached = steps.withColumn("__s", F.sum("__more").over(along)).join(totals, by).withColumn("__left", F.col("__g") - F.col("__s0") - F.col("__s")).where("__left >= 0")
+    last = reached.groupBy(*by).agg(F.max_by(F.struct("__p", "__slope", "__left"), "__p").alias("__k"))
+    rise = F.when(F.col("__k.__slope") > 0, F.floor(F.col("__k.__left") / F.col("__k.__slope"))).otherwise(0)
+    levels = last.select(*by, (F.col("__k.__p") + rise).alias("__level"), F.when(F.col("__k.__slope") > 0, F.col("__k.__left") - rise * F.col("__k.__slope")).otherwise(0).alias("__rest"))
+    found = items.join(levels, by, "left").withColumn("__now", F.least(cap, F.greatest(low, F.coalesce("__level", low))))
+    found = found.withColumn("__open", F.coalesce((F.col("__now") == F.col("__level")) & (F.col("__now") < F.col(cap)), F.lit(False)))
+    at = F.row_number().over(Window.partitionBy(*by, "__open").orderBy(*order))
+    extra = (F.col("__open") & (at <= F.col("__rest"))).cast("long")
+    return found.withColumn(name, (F.col("__now") + F.coalesce(extra, F.lit(0))).cast("long")).drop("__level", "__rest", "__now", "__open")
 
 
 def water_fill(strata: DataFrame) -> DataFrame:
@@ -115,22 +112,11 @@ def water_fill(strata: DataFrame) -> DataFrame:
     What saturated strata cannot take stays in its category: it raises the least filled
     families first and, inside a family, the least filled signatures.
     """
-    rows = [r.asDict() for r in strata.orderBy("category", "family", "signature").limit(MAX_STRATA + 1).collect()]
-    if len(rows) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata")
-    out = []
-    for category in sorted({r["category"] for r in rows}):
-        of_category = [r for r in rows if r["category"] == category]
-        families = sorted({r["family"] for r in of_category})
-        members = {f: [r for r in of_category if r["family"] == f] for f in families}
-        caps = [sum(r["capacity"] for r in members[f]) for f in families]
-        quotas = [sum(r["quota"] for r in members[f]) for f in families]
-        totals = raise_level(quotas, caps, sum(quotas))
-        for f, total in zip(families, totals, strict=True):
-            final = raise_level([r["quota"] for r in members[f]], [r["capacity"] for r in members[f]], total)
-            out += [(r["category"], r["family"], r["signature"], r["quota"], r["capacity"], q) for r, q in zip(members[f], final, strict=True)]
-    kind = strata.schema["signature"].dataType.simpleString()
-    return strata.sparkSession.createDataFrame(out, f"category string, family string, signature {kind}, quota long, capacity long, final_quota long")
+    rows = strata.select("category", "family", "signature", "quota", "capacity")
+    families = rows.groupBy("category", "family").agg(F.sum("quota").alias("q"), F.sum("capacity").alias("c"))
+    families = families.withColumn("goal", F.sum("q").over(Window.partitionBy("category")))  # one row per family
+    totals = raise_levels(families, ["category"], ["family"], "q", "c", "goal", "total").select("category", "family", "total")
+    return raise_levels(rows.join(totals, ["category", "family"]), ["category", "family"], ["signature"], "quota", "capacity", "total", "final_quota").drop("total")
 
 
 def fill_strata(candidates: DataFrame, quotas: DataFrame, strata: list[str], key: Column, seed: int | str, quota: str = "final_quota") -> DataFrame:

@@ -305,6 +305,15 @@ def draw_commands(surfaces: DataFrame, followups: DataFrame, plans: DataFrame, v
     return _realised(picked, grown, cut(vocabulary), distinct, seed)
 
 
+def _raised(quotas: DataFrame, capacity: DataFrame, strata: list[str], n_samples: int) -> DataFrame:
+    """The quotas when strata below theirs are taken as exhausted and the others as endless."""
+    from planloom.operators import balance as B
+
+    now = quotas.join(capacity, strata, "left").fillna(0, ["capacity"])
+    ends = F.when(F.col("capacity") < F.col("quota"), F.col("capacity")).otherwise(F.lit(n_samples).cast("long"))
+    return cut(B.water_fill(now.withColumn("capacity", ends)).select(*strata, F.greatest("quota", "final_quota").alias("quota")))
+
+
 MAX_ROUNDS = 12  # of drawing for strata that are not full yet
 
 
@@ -328,7 +337,7 @@ def generate(surfaces: DataFrame, followups: DataFrame, plans: DataFrame, vocabu
     pool, before, first, vocabulary = None, -1, 0, cut(vocabulary)
     for _ in range(MAX_ROUNDS):
         # raised quotas included, a stratum needs no more than its share of what is missing
-        goal = quotas if pool is None else B.water_fill(quotas.join(capacity, strata, "left").fillna(0, ["capacity"]).withColumn("capacity", F.when(F.col("capacity") < F.col("quota"), F.col("capacity")).otherwise(F.lit(n_samples).cast("long")))).select(*strata, F.greatest("quota", "final_quota").alias("quota"))  # noqa: F821
+        goal = quotas if pool is None else _raised(quotas, capacity, strata, n_samples)  # noqa: F821
         have = quotas.select(*strata, F.lit(0).cast("long").alias("capacity")) if pool is None else capacity  # noqa: F821
         missing = goal.join(have, strata, "left").fillna(0, ["capacity"]).withColumn("more", F.ceil((F.col("quota") - F.col("capacity")) * 1.5 + 4)).where("quota > capacity")
         draws = missing.select(by.alias("by"), F.explode(F.sequence(F.lit(first), F.lit(first) + F.col("more"))).alias("k")).withColumn("draw", F.concat_ws("#", "by", "k"))
@@ -342,6 +351,6 @@ def generate(surfaces: DataFrame, followups: DataFrame, plans: DataFrame, vocabu
         if found == before or (not open_ and found >= n_samples):
             break
         before, first = found, first + 4 * n_samples
-    final = B.water_fill(quotas.join(capacity, strata, "left").fillna(0, ["capacity"]))
+    final = cut(B.water_fill(quotas.join(capacity, strata, "left").fillna(0, ["capacity"])))
     chosen = B.fill_strata(pool, final, strata, F.col("draw"), seed)
     return chosen.drop("rank", "draw", "k", "route")

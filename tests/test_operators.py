@@ -68,17 +68,26 @@ def test_dedup(spark):
     assert {r.row_id for r in B.dedup_first(df, "row_id").collect()} == {1, 4, 5}
 
 
-def test_raise_level():
-    assert B.raise_level([5, 5, 5], [5, 2, 100], 15) == [5, 2, 8]
-    assert B.raise_level([1, 4], [10, 10], 8) == [4, 4]
-    assert B.raise_level([3, 3], [3, 3], 99) == [3, 3]
+def raised_one_by_one(base, caps, goal):
+    """Brute force: one step at a time to the first of the lowest open items."""
+    now = [min(b, c) for b, c in zip(base, caps, strict=True)]
+    low = list(now)
+    while sum(now) < min(goal, sum(caps)):
+        open_ = [i for i in range(len(now)) if now[i] < caps[i]]
+        at = min(open_, key=lambda i: (now[i], i))
+        now[at] += 1
+    return now if sum(low) <= goal else low
+
+
+def test_raise_levels(spark):
     rng = random.Random(1)
-    for _ in range(200):
-        caps = [rng.randrange(20) for _ in range(5)]
-        base = [rng.randrange(20) for _ in range(5)]
-        out = B.raise_level(base, caps, sum(base))
-        assert sum(out) == min(sum(base), sum(caps)) or sum(out) == sum(map(min, base, caps))
-        assert all(o <= c for o, c in zip(out, caps, strict=True))
+    groups = [([5, 5, 5], [5, 2, 100], 15), ([1, 4], [10, 10], 8), ([3, 3], [3, 3], 99), ([4, 4], [9, 9], 3), ([0], [0], 5)]
+    groups += [([rng.randrange(20) for _ in range(n)], [rng.randrange(20) for _ in range(n)], rng.randrange(90)) for n in range(1, 9) for _ in range(12)]
+    rows = [(g, i, b, c, goal) for g, (base, caps, goal) in enumerate(groups) for i, (b, c) in enumerate(zip(base, caps, strict=True))]
+    df = spark.createDataFrame(rows, "g int, i int, b long, c long, goal long")
+    got = {(r.g, r.i): r.f for r in B.raise_levels(df, ["g"], ["i"], "b", "c", "goal", "f").collect()}
+    want = {(g, i): x for g, x3 in enumerate(groups) for i, x in enumerate(raised_one_by_one(*x3))}
+    assert got == want
 
 
 def test_split(spark):
