@@ -153,9 +153,16 @@ ERROR_PAGE = "|".join(
 
 SWITCH = r"(?:enable|enabling|activate|activating|turn(?:ing)? on|switch(?:ing)? on|allow(?:ing)?|disable|disabling|turn(?:ing)? off|switch(?:ing)? off|deactivate|accept(?:ing)?|unblock|pause)"
 SCRIPTING = r"(?:java ?scripts?|(?:client[ -]side )?scripting|client[ -]side scripts?|scripts|script execution|cookies|ad ?-?blockers?|pop ?-?ups?)"
+# What may follow a thing to switch on in a notice: nothing, a sign, a new line, or a word that joins clauses.
+# Before any other word it only qualifies that word ("the script printer").
+JOINING = (
+    "and or but in on to for from of at by with within if is are was were be been must should can cannot may will would has have had do does did not so as then than "
+    "before after first now again please support settings execution below above here using via when while until because since you your we our this that these it the a an which who"
+).split()
+NOTICE_ENDS = rf"(?=$|[^\w ]| [^\w]| (?:{'|'.join(JOINING)})\b)"
 SCRIPT_NOTICE = "|".join(
     [
-        rf"\b{SWITCH} (?:(?:your|the|all|any|our|first|third|party|browser|session)[ -]){{0,3}}{SCRIPTING}\b(?! (?:printer|handbook|reader|book|jar|tin|machine|box|manual|poster|mug))",
+        rf"\b{SWITCH} (?:(?:your|the|all|any|our|first|third|party|browser|session)[ -]){{0,3}}{SCRIPTING}\b{NOTICE_ENDS}",
         rf"\b{SCRIPTING} (?:is|are|must|has|have|needs?|should)\b[\w ]{{0,24}}\b(?:enabled|disabled|blocked|turned|switched|required|activated|allowed|on|off)\b",
         rf"\b(?:requires?|needs?|without|supports?) (?:{SCRIPTING})\b",
         r"\bnoscript\b|\bscripting (?:switched|turned) on\b|\bwe use cookies\b|\baccept all\b.*\bcontent\b|\bbrowser (?:is|does) not support|\bbrowser settings\b|\bunsupported browser\b",
@@ -201,6 +208,7 @@ def automaton(field: str) -> ahocorasick.Automaton:
 
 def has_cue(field: str, unit: str) -> bool:
     """Whether a normalised unit holds a cue, as it stands or with ``_`` and ``-`` as blanks."""
+    unit = unit.replace("\n", " ")
     cues = automaton(field)
     if next(cues.iter(unit), None) is not None or field == "goals" and "na" in unit and NOT_APPLICABLE.search(unit) is not None:
         return True
@@ -214,8 +222,11 @@ def any_of(c: Column, cues: list[str]) -> Column:
     return found
 
 
+BLANK = "[\\s \u200b\u3000\ufeff]"
+
+
 def masked(c: Column) -> Column:
-    """Lower case, white space collapsed, addresses, dates and numbers masked; one digit stays '0', more become '00'."""
+    """Lower case, white space collapsed to blanks and new lines, addresses, dates and numbers masked; one digit stays '0', more become '00'."""
     low = F.lower(c)
     m = F.regexp_replace(low, r"(?:https?|ftp)://\S+|\bwww\.\S+|[\w.+-]+@[\w-]+\.[a-z]{2,}", "address")
     m = F.regexp_replace(m, r"\b\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?\b", "address")
@@ -223,7 +234,9 @@ def masked(c: Column) -> Column:
     m = F.regexp_replace(F.regexp_replace(m, r"\d{2,}", "00"), r"[1-9]", "0")
     # most texts hold neither a digit nor an address
     m = F.when(low.rlike(r"[0-9@]|://|www\."), m).otherwise(low)
-    return F.trim(F.regexp_replace(m, r"[\s ​　﻿]+", " "))
+    # a new line parts two messages, all other white space is one blank; most texts hold single blanks only
+    lined = F.regexp_replace(F.regexp_replace(m, rf"{BLANK}*[\r\n]{BLANK}*", "\n"), rf"[{BLANK}&&[^\n]]+", " ")
+    return F.btrim(F.when(m.rlike(rf"[{BLANK}&&[^ ]]|  "), lined).otherwise(m), F.lit(" \n"))
 
 
 def units(df: DataFrame, id_col: str, input_col: str, goals_col: str, source_col: str) -> DataFrame:
@@ -252,18 +265,27 @@ def units(df: DataFrame, id_col: str, input_col: str, goals_col: str, source_col
     return held.withColumn("h", F.md5(F.concat_ws("\n", "field", "unit")))
 
 
+TITLE = r"(?<=\w\s)[\"“«][^\"“”«»]*[\"”»](?=\s\w)"
+
+
 def with_phrases(df: DataFrame) -> DataFrame:
-    """Add ``phrase`` ('_' and '-' inside words as blanks) and ``untitled`` (quoted titles inside a sentence left out) of ``unit``, each computed once."""
-    df = once(df, phrase=F.trim(F.regexp_replace(F.regexp_replace("unit", r"(?<=\w)[_-](?=\w)", " "), " +", " ")))
-    return once(df, untitled=F.regexp_replace("phrase", r"(?<=\w\s)[\"“«][^\"“”«»]*[\"”»](?=\s\w)", "title"))
+    """Add ``phrase`` ('_' and '-' inside words as blanks), ``untitled`` (quoted titles inside a sentence left out) and ``lined`` (the same with its new lines) of ``unit``, each computed once.
+
+    New lines of ``unit`` become blanks: most rules hold across them.
+    """
+    titles = lambda c: F.regexp_replace(c, TITLE, "title")
+    joined = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"(?<=\w)[_-](?=\w)", " "), " +", " "))
+    df = df.withColumn("lined", F.when(F.contains("unit", F.lit("\n")), titles(joined(F.col("unit"))))).withColumn("unit", F.translate("unit", "\n", " "))
+    df = once(df, phrase=joined(F.col("unit")))
+    return once(df, untitled=titles(F.col("phrase")))
 
 
-def classify(field: Column, unit: Column, phrase: Column, untitled: Column, n_rows: Column, n_sources: Column) -> Column:
+def classify(field: Column, unit: Column, phrase: Column, untitled: Column, lined: Column, n_rows: Column, n_sources: Column) -> Column:
     """The kind of residue a message holds, or null."""
     wide = (n_rows >= WIDE_ROWS) & (n_sources >= WIDE_SOURCES)
     missing = any_of(unit, MISSING)
     return (
-        F.when(any_of(phrase, SCRIPT_CUES) & (untitled.rlike(SCRIPT_NOTICE) | unit.rlike(SCRIPT_NOTICE) & ~phrase.rlike(r"[\"“«]")), "script_notice")
+        F.when(any_of(phrase, SCRIPT_CUES) & (untitled.rlike(SCRIPT_NOTICE) | F.coalesce(lined.rlike(SCRIPT_NOTICE), F.lit(False)) | unit.rlike(SCRIPT_NOTICE) & ~phrase.rlike(r"[\"“«]")), "script_notice")
         .when(any_of(unit, ERROR_CUES) & (untitled.rlike(ERROR_PAGE) | unit.rlike(r"\berr_[a-z_]+|</?(?:html|body)\b")), "error_page")
         .when(any_of(phrase, FILLER_CUES) & phrase.rlike(FILLER), "filler")
         .when(any_of(unit, PLACE_CUES) & unit.rlike(PLACEHOLDER), "placeholder")
@@ -277,8 +299,8 @@ def messages(held: DataFrame) -> DataFrame:
     """``h, field, unit, n_rows, n_sources, kind`` of every distinct message among the :func:`units`."""
     per_source = held.groupBy("h", "__source").agg(F.count("*").alias("n"), F.min(F.struct("field", "unit")).alias("u"))
     whole = per_source.groupBy("h").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_sources"), F.min("u").alias("u")).select("h", "u.field", "u.unit", "n_rows", "n_sources")
-    judged = classify(*map(F.col, ("field", "unit", "phrase", "untitled", "n_rows", "n_sources")))
-    return once(with_phrases(whole), kind=judged).drop("phrase", "untitled")
+    judged = classify(*map(F.col, ("field", "unit", "phrase", "untitled", "lined", "n_rows", "n_sources")))
+    return once(with_phrases(whole), kind=judged).drop("phrase", "untitled", "lined")
 
 
 def residue_messages(df: DataFrame, id_col: str, input_col: str, goals_col: str, source_col: str) -> DataFrame:

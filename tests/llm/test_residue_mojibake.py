@@ -52,6 +52,11 @@ def test_recurrence_decides(spark):
     assert got == {i: ["input:recurring_message"] for i in range(3)}
 
 
+def test_a_new_line_ends_a_notice(spark):
+    texts = ["for full functionality switch on javascript\nbob is at the desk, greet them", "enable\njavascript to continue", "enable the cookies jar lid", "turn on the script lamp in the hall", "activate scripting. go to the hall"]
+    assert set(found(spark, [(i, t, ["go(hall)"], "s", "h", "k") for i, t in enumerate(texts)])) == {0, 1, 4}
+
+
 def test_gate_drops_nothing(spark):
     """Every text of the rules passes the automaton."""
     assert [t for t in RESIDUE if not residue.has_cue("input", t.lower())] == []
