@@ -31,6 +31,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from planloom.operators.plans import once
 from planloom.session import cut, spread, stored
@@ -196,30 +197,35 @@ WEAK_CUES = "unavailable expired forbidden unauthori timeout invalid failed fail
 NOT_APPLICABLE = re.compile(r"(?:^|[,=(])\s*['\"]?\s*na\s*['\"]?\s*(?:$|[,)])")
 
 
+# One bit a rule: which rules a unit may match.
+SCRIPT_BIT, ERROR_BIT, FILLER_BIT, PLACE_BIT, MISSING_BIT, WEAK_BIT, GOAL_BIT = (1 << k for k in range(7))
+CUES = ((SCRIPT_BIT, SCRIPT_CUES), (ERROR_BIT, ERROR_CUES), (FILLER_BIT, FILLER_CUES), (PLACE_BIT, PLACE_CUES), (MISSING_BIT, MISSING), (WEAK_BIT, WEAK_CUES), (GOAL_BIT, [*GOAL_CUES, "__", "…", "?"]))
+
+
 @cache
 def automaton(field: str) -> ahocorasick.Automaton:
-    """All cues of the rules of a field."""
+    """All cues of the rules of a field, each with the bits of its rules."""
+    bits: dict[str, int] = {}
+    for bit, cues in CUES:
+        for cue in cues if bit != GOAL_BIT or field == "goals" else ():
+            bits[cue] = bits.get(cue, 0) | bit
     found = ahocorasick.Automaton()
-    for cue in {*SCRIPT_CUES, *ERROR_CUES, *FILLER_CUES, *PLACE_CUES, *MISSING, *WEAK_CUES, *(GOAL_CUES if field == "goals" else [])}:
-        found.add_word(cue, 1)
+    for cue, mask in bits.items():
+        found.add_word(cue, mask)
     found.make_automaton()
     return found
 
 
-def has_cue(field: str, unit: str) -> bool:
-    """Whether a normalised unit holds a cue, as it stands or with ``_`` and ``-`` as blanks."""
+def cues_of(field: str, unit: str) -> int:
+    """The bits of the rules that a normalised unit holds a cue of, as it stands or with ``_`` and ``-`` as blanks."""
     unit = unit.replace("\n", " ")
-    cues = automaton(field)
-    if next(cues.iter(unit), None) is not None or field == "goals" and "na" in unit and NOT_APPLICABLE.search(unit) is not None:
-        return True
-    return "-" in unit and next(cues.iter(unit.replace("-", " ")), None) is not None
-
-
-def any_of(c: Column, cues: list[str]) -> Column:
-    found = F.contains(c, F.lit(cues[0]))
-    for cue in cues[1:]:
-        found = found | F.contains(c, F.lit(cue))
-    return found
+    cues, bits = automaton(field), 0
+    for text in (unit, unit.replace("_", " ").replace("-", " ")) if "_" in unit or "-" in unit else (unit,):
+        for _, mask in cues.iter(text):
+            bits |= mask
+    if field == "goals" and "na" in unit and NOT_APPLICABLE.search(unit) is not None:
+        bits |= GOAL_BIT
+    return bits
 
 
 BLANK = "[\\s \u200b\u3000\ufeff]"
@@ -240,7 +246,7 @@ def masked(c: Column) -> Column:
 
 
 def units(df: DataFrame, id_col: str, input_col: str, goals_col: str, source_col: str) -> DataFrame:
-    """``id, source, field, unit, h`` of the masked inputs and the masked arguments of each goal that hold a cue."""
+    """``id, source, field, unit, cues, h`` of the masked inputs and the masked arguments of each goal that hold a cue."""
     inner = lambda g: F.regexp_replace(g, r"(?s)^\s*\w+\s*\((.*)\)\s*$", "$1")
     of_goals = F.transform(F.filter(F.coalesce(F.col(goals_col), F.array().cast("array<string>")), lambda g: g.isNotNull()), lambda g: F.struct(F.lit("goals").alias("field"), inner(g).alias("unit")))
     of_input = F.array(F.struct(F.lit("input").alias("field"), F.coalesce(F.col(input_col), F.lit("")).alias("unit")))
@@ -252,16 +258,18 @@ def units(df: DataFrame, id_col: str, input_col: str, goals_col: str, source_col
             # units repeat, goals above all: each distinct one of a batch is looked at once
             fields, texts = batch.column(2).dictionary_encode(), batch.column(3).dictionary_encode()
             names, words = fields.dictionary.to_pylist(), texts.dictionary.to_pylist()
-            seen: dict[tuple[int, int], bool] = {}
-            keep = []
+            seen: dict[tuple[int, int], int] = {}
+            keep, bits = [], []
             for i, pair in enumerate(zip(fields.indices.to_pylist(), texts.indices.to_pylist(), strict=True)):
                 if pair not in seen:
-                    seen[pair] = has_cue(names[pair[0]], words[pair[1]])
+                    seen[pair] = cues_of(names[pair[0]], words[pair[1]])
                 if seen[pair]:
                     keep.append(i)
-            yield batch.take(pa.array(keep, pa.int64()))
+                    bits.append(seen[pair])
+            held = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*held.columns, pa.array(bits, pa.int32())], names=[*held.schema.names, "cues"])
 
-    held = rows.mapInArrow(run, rows.schema)
+    held = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("cues", IntegerType())]))
     return held.withColumn("h", F.md5(F.concat_ws("\n", "field", "unit")))
 
 
@@ -280,27 +288,27 @@ def with_phrases(df: DataFrame) -> DataFrame:
     return once(df, untitled=titles(F.col("phrase")))
 
 
-def classify(field: Column, unit: Column, phrase: Column, untitled: Column, lined: Column, n_rows: Column, n_sources: Column) -> Column:
-    """The kind of residue a message holds, or null."""
+def classify(field: Column, unit: Column, phrase: Column, untitled: Column, lined: Column, cues: Column, n_rows: Column, n_sources: Column) -> Column:
+    """The kind of residue a message holds, or null; a rule is tried only where the message holds one of its cues."""
     wide = (n_rows >= WIDE_ROWS) & (n_sources >= WIDE_SOURCES)
-    missing = any_of(unit, MISSING)
+    may = lambda bit: cues.bitwiseAND(F.lit(bit)) != 0
     return (
-        F.when(any_of(phrase, SCRIPT_CUES) & (untitled.rlike(SCRIPT_NOTICE) | F.coalesce(lined.rlike(SCRIPT_NOTICE), F.lit(False)) | unit.rlike(SCRIPT_NOTICE) & ~phrase.rlike(r"[\"“«]")), "script_notice")
-        .when(any_of(unit, ERROR_CUES) & (untitled.rlike(ERROR_PAGE) | unit.rlike(r"\berr_[a-z_]+|</?(?:html|body)\b")), "error_page")
-        .when(any_of(phrase, FILLER_CUES) & phrase.rlike(FILLER), "filler")
-        .when(any_of(unit, PLACE_CUES) & unit.rlike(PLACEHOLDER), "placeholder")
-        .when((field == "goals") & unit.rlike(MISSING_GOAL), "missing_value")
-        .when((field == "input") & missing & unit.rlike(MISSING_INPUT), "missing_value")
-        .when(wide & (field == "input") & untitled.rlike(WEAK) & ~untitled.rlike(COMMAND_LEAD), "recurring_message")
+        F.when(may(SCRIPT_BIT) & (untitled.rlike(SCRIPT_NOTICE) | F.coalesce(lined.rlike(SCRIPT_NOTICE), F.lit(False)) | unit.rlike(SCRIPT_NOTICE) & ~phrase.rlike(r"[\"“«]")), "script_notice")
+        .when(may(ERROR_BIT) & (untitled.rlike(ERROR_PAGE) | unit.rlike(r"\berr_[a-z_]+|</?(?:html|body)\b")), "error_page")
+        .when(may(FILLER_BIT) & phrase.rlike(FILLER), "filler")
+        .when(may(PLACE_BIT) & unit.rlike(PLACEHOLDER), "placeholder")
+        .when(may(GOAL_BIT) & (field == "goals") & unit.rlike(MISSING_GOAL), "missing_value")
+        .when(may(MISSING_BIT) & (field == "input") & unit.rlike(MISSING_INPUT), "missing_value")
+        .when(may(WEAK_BIT) & wide & (field == "input") & untitled.rlike(WEAK) & ~untitled.rlike(COMMAND_LEAD), "recurring_message")
     )
 
 
 def messages(held: DataFrame) -> DataFrame:
     """``h, field, unit, n_rows, n_sources, kind`` of every distinct message among the :func:`units`."""
-    per_source = held.groupBy("h", "__source").agg(F.count("*").alias("n"), F.min(F.struct("field", "unit")).alias("u"))
-    whole = per_source.groupBy("h").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_sources"), F.min("u").alias("u")).select("h", "u.field", "u.unit", "n_rows", "n_sources")
-    judged = classify(*map(F.col, ("field", "unit", "phrase", "untitled", "lined", "n_rows", "n_sources")))
-    return once(with_phrases(whole), kind=judged).drop("phrase", "untitled", "lined")
+    per_source = held.groupBy("h", "__source").agg(F.count("*").alias("n"), F.min(F.struct("field", "unit", "cues")).alias("u"))
+    whole = per_source.groupBy("h").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_sources"), F.min("u").alias("u")).select("h", "u.field", "u.unit", "u.cues", "n_rows", "n_sources")
+    judged = classify(*map(F.col, ("field", "unit", "phrase", "untitled", "lined", "cues", "n_rows", "n_sources")))
+    return once(with_phrases(whole), kind=judged).drop("phrase", "untitled", "lined", "cues")
 
 
 def residue_messages(df: DataFrame, id_col: str, input_col: str, goals_col: str, source_col: str) -> DataFrame:

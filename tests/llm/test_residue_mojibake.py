@@ -59,7 +59,7 @@ def test_a_new_line_ends_a_notice(spark):
 
 def test_gate_drops_nothing(spark):
     """Every text of the rules passes the automaton."""
-    assert [t for t in RESIDUE if not residue.has_cue("input", t.lower())] == []
+    assert [t for t in RESIDUE if not residue.cues_of("input", t.lower())] == []
 
 
 def test_recurring_and_clean(spark):
