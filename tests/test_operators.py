@@ -335,3 +335,18 @@ def test_weighted_pick(spark):
     draws = spark.range(4000).withColumn("key", F.lit("k"))
     got = Counter(r.choice for r in GR.weighted_pick(draws, choices, 1, F.col("id")).collect())
     assert abs(got["a"] / 4000 - 0.8) < 0.03 and sum(got.values()) == 4000
+
+
+def test_checkpoint_folder(spark, tmp_path):
+    """Off local mode a session without ``spark.checkpoint.dir`` is refused; a stored table keeps rows and types."""
+    from types import SimpleNamespace
+
+    from planloom import session
+
+    unset = SimpleNamespace(isDefined=lambda: False)
+    context = lambda master: SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda _: None), _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,3000]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.ensure_checkpoint_dir(SimpleNamespace(sparkContext=context(master)))
+    df = spark.createDataFrame([(1, ["a", None], {"k": "v"}), (2, None, None)], "id long, t array<string>, m map<string,string>")
+    assert sorted(map(repr, session.stored(df).collect())) == sorted(map(repr, df.collect()))
