@@ -131,9 +131,10 @@ def p5_splits_check(spark: SparkSession, d: str) -> DataFrame:
         torn = part if torn is None else torn.unionByName(part)
     sizes = given.groupBy("split").agg(F.count("*").alias("n"))
     wanted = spark.createDataFrame(list(splits.SPLITS.items()), "split string, share int")
-    total = sizes.agg(F.sum("n").alias("n_rows"))
-    off = wanted.join(sizes, "split", "left").crossJoin(F.broadcast(total)).agg(F.max("n_rows").alias("n_rows"), F.sum((F.abs(F.coalesce("n", F.lit(0)) - F.col("share") * F.col("n_rows") / 100) * 20 > F.col("n_rows")).cast("long")).alias("n_quotas_missed"))
-    return off.crossJoin(F.broadcast(torn.agg(F.count("*").alias("n_torn_keys"))))  # one row each
+    rows_of = wanted.join(sizes, "split", "left").fillna(0, ["n"]).agg(F.sum("n").alias("n_rows"), F.collect_list(F.struct("n", "share")).alias("each"))  # one entry per split
+    missed = F.size(F.filter("each", lambda x: F.abs(x["n"] - x["share"] * F.col("n_rows") / 100) * 20 > F.col("n_rows"))).cast("long")
+    off = rows_of.select("n_rows", missed.alias("n_quotas_missed"), F.lit(1).alias("one"))
+    return off.join(torn.agg(F.count("*").alias("n_torn_keys"), F.lit(1).alias("one")), "one").drop("one")  # one row each
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -166,11 +167,12 @@ def p7_containers_check(spark: SparkSession, d: str) -> DataFrame:
         F.sum((F.col("load") > packing.CAPACITY).cast("long")).alias("n_overfull"),
         (F.sum("load") < F.lit(0.98 * packing.CAPACITY) * (F.count("*") - 1)).alias("wasteful"),
         (F.max("container") + 1 - F.count("*")).alias("n_unused_numbers"),
+        F.lit(1).alias("one"),
     )
     per_text = packed.groupBy("doc_id", "n_tokens").agg(F.sum("part_tokens").alias("placed"), F.count("container").alias("parts"))
     needed = F.ceil(F.col("n_tokens") / packing.CAPACITY)
-    texts = per_text.agg(F.count("*").alias("n_documents"), F.sum((F.col("placed") != F.col("n_tokens")).cast("long")).alias("n_lost"), F.sum((F.col("parts") != needed).cast("long")).alias("n_needlessly_cut"))
-    return texts.crossJoin(F.broadcast(used))  # one row each
+    texts = per_text.agg(F.count("*").alias("n_documents"), F.sum((F.col("placed") != F.col("n_tokens")).cast("long")).alias("n_lost"), F.sum((F.col("parts") != needed).cast("long")).alias("n_needlessly_cut"), F.lit(1).alias("one"))
+    return texts.join(used, "one").drop("one")  # one row each
 
 
 def p8_restored(spark: SparkSession, d: str) -> DataFrame:
