@@ -261,8 +261,7 @@ def variant_dump(surfaces: DataFrame, followups: DataFrame, plans: DataFrame, vo
     """The variants of every family as commands to people, to objects and mixed, with the features of their plans; invalid plans are left out."""
     from planloom.operators.plans import enrich
 
-    kinds = surfaces.sparkSession.createDataFrame([("people",), ("objects",), (None,)], "category string")
-    every = surfaces.drop("category").distinct().crossJoin(F.broadcast(kinds))  # three rows
+    every = surfaces.drop("category").distinct().withColumn("category", F.explode(F.array(F.lit("people"), F.lit("objects"), F.lit(None))))
     rows = enumerate_variants(every, followups, plans, vocabulary)
     return enrich(rows.withColumn("category", F.coalesce("category", F.lit("mixed"))).drop("context"))
 
