@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planloom.functions.columns import text_key
-from planloom.skew import BROADCAST_ROWS, lookup_join, salt_of
+from planloom.session import cut
+from planloom.skew import BROADCAST_ROWS, lookup_join
 
 
 def hash_rank(seed: int | str, key: Column) -> Column:
@@ -120,16 +121,24 @@ def water_fill(strata: DataFrame) -> DataFrame:
 
 
 def fill_strata(candidates: DataFrame, quotas: DataFrame, strata: list[str], key: Column, seed: int | str, quota: str = "final_quota") -> DataFrame:
-    """The first ``quota`` candidates of each stratum in seeded hash order."""
-    side = quotas.select(*strata, quota)
-    if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        side = F.broadcast(side)
-    ranked = candidates.withColumn("__h", hash_rank(seed, key)).join(side, strata).withColumn("__salt", salt_of("__h", salts=FILL_SALTS))
-    # a stratum is ranked by many tasks first; at most FILL_SALTS times its quota meets in one
-    local = F.row_number().over(Window.partitionBy(*strata, "__salt").orderBy("__h", key))
-    some = ranked.withColumn("__local", local).where(F.col("__local") <= F.col(quota)).drop("__local", "__salt")
-    rank = F.row_number().over(Window.partitionBy(*strata).orderBy("__h", key))
-    return some.withColumn("rank", rank).where(F.col("rank") <= F.col(quota)).drop("__h", quota)
+    """The first ``quota`` candidates of each stratum in seeded hash order.
+
+    No stratum is sorted: its candidates are counted by the first digits of their hash, all
+    below the digits in which the quota ends are taken, and only the candidates that share
+    these, one in 65,536 of the stratum, are ranked.
+    """
+    side = cut(quotas.select(*strata, F.col(quota).alias("__quota")).where("__quota > 0"))  # one row per stratum, read three times
+    small = side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    side = F.broadcast(side) if small else side
+    hashed = candidates.withColumn("__h", hash_rank(seed, key)).withColumn("__digits", F.substring("__h", 1, 4)).join(side, strata)
+    counts = hashed.groupBy(*strata, "__quota", "__digits").agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*strata).orderBy("__digits"))  # at most 65,536 rows of a stratum
+    ends = counts.withColumn("__upto", upto).where((F.col("__upto") >= F.col("__quota")) & (F.col("__upto") - F.col("__n") < F.col("__quota")))
+    ends = ends.select(*strata, F.col("__digits").alias("__end"), (F.col("__quota") - F.col("__upto") + F.col("__n")).alias("__need"))
+    met = hashed.drop("__quota").join(F.broadcast(ends) if small else ends, strata, "left")
+    inner = met.where(F.col("__end").isNull() | (F.col("__digits") < F.col("__end")))
+    last = met.where(F.col("__digits") == F.col("__end")).withColumn("__at", F.row_number().over(Window.partitionBy(*strata).orderBy("__h", key))).where("__at <= __need").drop("__at")
+    return inner.unionByName(last).drop("__h", "__digits", "__end", "__need")
 
 
 def require_size(df: DataFrame, n: int) -> DataFrame:

@@ -350,6 +350,6 @@ def generate(surfaces: DataFrame, followups: DataFrame, plans: DataFrame, vocabu
         if found == before or (not open_ and found >= n_samples):
             break
         before, first = found, first + 4 * n_samples
-    final = cut(B.water_fill(quotas.join(capacity, strata, "left").fillna(0, ["capacity"])))
+    final = B.water_fill(quotas.join(capacity, strata, "left").fillna(0, ["capacity"]))
     chosen = B.fill_strata(pool, final, strata, F.col("draw"), seed)
-    return chosen.drop("rank", "draw", "k", "route")
+    return chosen.drop("draw", "k", "route")

@@ -321,7 +321,7 @@ def waterfill_quota(spark: SparkSession, d: str) -> DataFrame:
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     rows = _valid_rows(spark, d)
     quotas = B.hierarchical_quota(_strata(rows), N_SAMPLES, 0.5)
-    return B.fill_strata(rows, quotas, ["category", "family", "signature"], F.col("row_id"), 42, "quota").drop("rank")
+    return B.fill_strata(rows, quotas, ["category", "family", "signature"], F.col("row_id"), 42, "quota")
 
 
 @query(
@@ -332,7 +332,7 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
 )
 def balanced_sample(spark: SparkSession, d: str) -> DataFrame:
     rows = _valid_rows(spark, d)
-    return B.fill_strata(rows, cut(_final_quotas(rows)), ["category", "family", "signature"], F.col("row_id"), 42).drop("rank")
+    return B.fill_strata(rows, _final_quotas(rows), ["category", "family", "signature"], F.col("row_id"), 42)
 
 
 @query(f"{STRATA_SQL} SELECT category, family, signature, capacity AS n, capacity * 100.0::DOUBLE / sum(capacity) OVER () AS percent FROM strata")
