@@ -174,6 +174,36 @@ def test_sample_of_copies(spark):
     assert sorted(seen) == sorted(set((lang or "fr", text) for text, lang in rows)), "each text once, whatever the number of its copies"
 
 
+def letters_of(i):
+    return "".join("abcdefghij"[int(d)] for d in f"{i:04d}")
+
+
+def test_model_of_all_documents(spark):
+    """A letter of four documents among thousands is known: nothing is counted on a sample."""
+    rows = [(i, f"La clé {letters_of(i)} est dans la crèche.", "fr") for i in range(3000)]
+    rows += [(5000 + i, f"Le cœur {letters_of(i)} bat plus vite.", "fr") for i in range(4)]
+    rows.append((9000, "Le cœur bat plus vite.".encode().decode("cp1252"), "fr"))
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    got = {r.id: r.restored for r in mojibake.repair_texts(df, "id", "text", "lang").where("garbled").collect()}
+    assert got == {9000: "Le cœur bat plus vite."}
+    assert mojibake.fit_model(df, "text", "lang")["known"] == {"clé": 3000, "crèche.": 3000, "cœur": 4}
+
+
+def test_model_by_aggregations(spark, monkeypatch):
+    """The aggregations give the model of all texts, with ties at the end of a dictionary and garbled, odd and repeated texts."""
+    monkeypatch.setattr(mojibake, "DICT_BYTES", 600)
+    monkeypatch.setattr(mojibake, "DICT_LANGS", 3)
+    rng = random.Random(6)
+    rows = [(" ".join(rng.choice(v) for _ in range(3)) + f" Nº {i} {letters_of(i * k)}", k_) for k, (k_, v) in enumerate(SENTENCES.items(), 1) for i in range(60)]
+    rows += [("La rÃ©ponse arrive aprÃ¨s le dÃ®ner.\u2003 &eacute;t&#233; \ufffd", "fr"), ("été\u00a0\n\r\t１２ \x1c été;\x85fin été", "fr"), ("", "fr"), ("  ", None), (None, "de"), ("😀 naïve \u2028x", "xx"), ("n" * 700 + " é", "de")]
+    rows += rows[:50] + [(rows[0][0], "it")] * 3
+    df = spark.createDataFrame(rows, "text string, lang string")
+    got, want = mojibake.fit_model(df, "text", "lang"), mojibake.sample_model(df, "text", "lang")
+    assert got == want and len(got["dictionaries"]) == 4
+    empty = mojibake.fit_model(df.limit(0), "text", "lang")
+    assert empty == {"dictionaries": {}, "alphabet": frozenset(), "known": {}}
+
+
 def test_lost(model):
     judge = mojibake.Judge(model)
     assert judge.repair("le d�ner")[1] == ["lost"]
